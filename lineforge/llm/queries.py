@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import exact, simhash
+from . import bpe, exact, langid, linededup, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,36 @@ ORACLES["op4_exact_recipes"] = """
            doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op5_centroid_language(spark, sf_dir):
+    return langid.predict_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_line_bitmaps(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES["op9_line_bitmaps"] = f"""
+    WITH lines AS (
+        SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    keyed AS (
+        SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+    common AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+    marked AS (SELECT keyed.*, last IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN common USING (k))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+"""
