@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import bpe, exact, langid, linededup, simhash
+from . import bpe, exact, langid, linededup, mixing, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,45 @@ ORACLES["op9_line_bitmaps"] = f"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op1_temperature_mix(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_temperature_mix"] = """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+               CAST(CAST('0x' || substr(md5('42/' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 64 AS INTEGER) AS block
+        FROM documents),
+    b AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY ALL),
+    s AS (SELECT source, sum(n) AS tokens, sum(n) / (SELECT CAST(sum(n) AS DOUBLE) FROM b) AS p FROM b GROUP BY source),
+    l AS (SELECT list(p) AS ps, CAST(count(*) AS DOUBLE) AS k FROM s),
+    halving AS (
+        SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2
+        UNION ALL
+        SELECT i + 1, CASE WHEN low THEN lo ELSE (lo + hi) / 2 END, CASE WHEN low THEN (lo + hi) / 2 ELSE hi END,
+               CASE WHEN few THEN lo2 ELSE (lo2 + hi2) / 2 END, CASE WHEN few THEN (lo2 + hi2) / 2 ELSE hi2 END
+        FROM (
+            SELECT halving.*,
+                   ln(list_sum([p ** ((lo + hi) / 2) FOR p IN ps]))
+                     - (lo + hi) / 2 * list_sum([p ** ((lo + hi) / 2) * ln(p) FOR p IN ps]) / list_sum([p ** ((lo + hi) / 2) FOR p IN ps])
+                     < 0.95 * ln(k) AS low,
+                   list_max([p ** ((lo2 + hi2) / 2 - 1) FOR p IN ps]) / list_sum([p ** ((lo2 + hi2) / 2) FOR p IN ps]) <= 4 AS few
+            FROM halving, l)
+        WHERE i < 40),
+    e AS (SELECT round(least(1.0, greatest((lo + hi) / 2, (lo2 + hi2) / 2)), 9) AS a FROM halving WHERE i = 40),
+    w AS (
+        SELECT source, tokens, CAST(floor(p ** a / sum(p ** a) OVER () * sum(tokens) OVER () + 0.5) AS BIGINT) AS budget FROM s, e),
+    q AS (SELECT b.*, tokens, budget, budget // tokens AS whole FROM b JOIN w USING (source)),
+    r AS (
+        SELECT *, CAST('0x' || substr(md5('42/' || source || '/' || CAST(whole AS VARCHAR) || '/' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT) AS r FROM q),
+    plan AS (
+        SELECT source, block, whole + CASE WHEN coalesce(sum(n) OVER (PARTITION BY source ORDER BY r, block
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < budget - whole * tokens THEN 1 ELSE 0 END AS epochs FROM r),
+    x AS (SELECT d.*, unnest(range(CAST(epochs AS BIGINT))) AS epoch FROM d JOIN plan USING (source, block))
+    SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, epoch, block,
+           CAST('0x' || substr(md5('42/' || source || '/' || CAST(epoch AS VARCHAR) || '/' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT) AS block_order
+    FROM x
+"""
