@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import bpe, exact, langid, linededup, mixing, simhash
+from . import bpe, exact, langid, linededup, mixing, simhash, substring
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,24 @@ ORACLES["op1_temperature_mix"] = """
            CAST('0x' || substr(md5('42/' || source || '/' || CAST(epoch AS VARCHAR) || '/' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT) AS block_order
     FROM x
 """
+
+
+@query
+def op8_block_anchors(spark, sf_dir):
+    return substring.dedup_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_block_anchors"] = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, w, unnest(range(CAST(len(w) - 19 AS BIGINT))) AS s FROM d WHERE len(w) >= 20),
+    m AS (
+        SELECT doc_id, s FROM (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s + 1 : s + 20], ' ') ORDER BY doc_id, s) AS r FROM g)
+        WHERE r > 1),
+    x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+    c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM m),
+    k AS (SELECT x.*, c.i IS NOT NULL AS gone FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i),
+    a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN a USING (doc_id)
+"""
