@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import bpe, exact, langid, linededup, mixing, simhash, substring
+from . import bpe, exact, langid, linededup, mixing, privacy, simhash, substring
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ ORACLES["op8_block_anchors"] = """
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM d LEFT JOIN a USING (doc_id)
 """
+
+
+@query
+def op7_term_disclosure(spark, sf_dir):
+    return privacy.personal_data(table(spark, sf_dir, "documents"))
