@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import bpe, exact, langid, linededup, mixing, privacy, simhash, substring
+from . import bpe, exact, langid, linededup, media, mixing, privacy, simhash, substring
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ ORACLES["op8_block_anchors"] = """
 @query
 def op7_term_disclosure(spark, sf_dir):
     return privacy.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_media_chunks(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "documents"))
