@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lineforge.session import table
 
-from . import bpe, exact, langid, linededup, media, mixing, privacy, simhash, substring
+from . import bpe, exact, langid, linededup, media, mixing, privacy, quality, simhash, substring
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,8 @@ def op7_term_disclosure(spark, sf_dir):
 @query
 def op3_media_chunks(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_kneser_ney_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
