@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -46,8 +47,10 @@ def drop_table(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished jobs now instead of at the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python holds of the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -191,12 +191,33 @@ def anchors(docs: DataFrame, block: int, batch_bytes: int, shards: int) -> DataF
 
 # ---- step 2: windows around anchors. Entries carry their document, as the earliest one is wanted.
 
-WINDOWS = "shard int, ids binary, counts binary, pos binary, h binary, low binary, doc_id long, at binary"
+WINDOWS = "shard int, bucket int, ids binary, counts binary, pos binary, h binary, low binary"
+_WINDOWS = [x.split()[0] for x in WINDOWS.split(", ")]
 
 
 def _windows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in WINDOWS.split(", ")])
+    types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _WINDOWS)
+
+
+def _runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, counts) of the runs of equal ids."""
+    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return cut, np.diff(np.append(cut, len(ids)))
+
+
+def _settled(ids: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+    """Repeated windows, a row for each bucket of documents, whatever the number of documents."""
+    bucket = ((ids.astype(np.uint64) * np.uint64(MULT)) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.lexsort((pos, ids, bucket))
+    bucket, ids, pos = bucket[order], ids[order], pos[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        s = slice(edges[k], edges[k + 1])
+        first, counts = _runs_of(ids[s])
+        rows.append((None, k, ids[s][first].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[s].astype("<u4").tobytes(), None, None))
+    return rows
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int, batch_bytes: int, shards: int) -> DataFrame:
@@ -229,20 +250,18 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int,
             later = order[(order != lead) & ((b.ids[owner[order]] != b.ids[owner[lead]]) | (pos[order] != pos[lead]))]
             rows = []
             if len(later):
-                found = _positions(b.ids, owner[later], pos[later])
                 s = int(xxhash.xxh64_intdigest(b.ids.tobytes()) % shards)
-                rows += [(s, None, None, None, None, None, d, x) for d, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+                rows += [(s, *r[1:]) for r in _settled(b.ids[owner[later]], pos[later], shards)]
             first = np.sort(order[new])
             h, low, owner, pos = h[first], low[first], owner[first], pos[first]
             for s, o in _by_shard(h, shards):
-                cut = np.flatnonzero(np.concatenate([[True], owner[o][1:] != owner[o][:-1]]))
-                counts = np.diff(np.append(cut, len(o)))
-                rows.append((s, b.ids[owner[o][cut]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[o].astype("<u4").tobytes(), h[o].astype("<u8").tobytes(), low[o].astype("<u4").tobytes(), None, None))
+                cut, counts = _runs_of(owner[o])
+                rows.append((s, None, b.ids[owner[o][cut]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[o].astype("<u4").tobytes(), h[o].astype("<u8").tobytes(), low[o].astype("<u4").tobytes()))
             yield _windows(rows)
 
     def match(group: pa.Table) -> pa.Table:
-        sent = group.filter(group.column("at").is_null())
-        out = [group.filter(group.column("at").is_valid()).select(["doc_id", "at"])]
+        sent = group.filter(group.column("bucket").is_null())
+        out = [group.filter(group.column("bucket").is_valid())]
         if sent.num_rows:
             read = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in sent.column(k).to_pylist()])
             h, low, pos = read("h", "<u8"), read("low", "<u4"), read("pos", "<u4")
@@ -252,13 +271,18 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int,
             lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             later = order[(order != lead) & ((ids[order] != ids[lead]) | (pos[order] != pos[lead]))]
             if len(later):
-                docs_, local = np.unique(ids[later], return_inverse=True)
-                out.append(pa.Table.from_batches([_positions(docs_, local, pos[later])]))
-        schema = pa.schema([("doc_id", pa.int64()), ("at", pa.binary())])
+                out.append(pa.Table.from_batches([_windows(_settled(ids[later], pos[later], shards))]))
+        schema = _windows([]).schema
         return pa.concat_tables([x.cast(schema) for x in out])
 
+    def gather(group: pa.Table) -> pa.Table:
+        read = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in group.column(k).to_pylist()])
+        docs_, local = np.unique(np.repeat(read("ids", "<i8"), read("counts", "<u4")), return_inverse=True)
+        return pa.Table.from_batches([_positions(docs_, local, read("pos", "<u4"))])
+
     near = docs.join(lists, "doc_id")
-    return near.mapInArrow(probe, WINDOWS).groupBy("shard").applyInArrow(match, "doc_id long, at binary")
+    answers = near.mapInArrow(probe, WINDOWS).groupBy("shard").applyInArrow(match, WINDOWS)
+    return answers.groupBy("bucket").applyInArrow(gather, "doc_id long, at binary")
 
 
 # ---- step 3
