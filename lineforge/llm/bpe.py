@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 
 
-NONE = 1 << 24  # the rank of a pair that is no piece
+BITS, PLACE = 17, 12  # of an id or rank, and of a place in a word
+NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
+HELD_WORDS = 1_000_000  # after which a task numbers its words anew
 LONG_WORD = 256  # bytes from which merges use a heap, as the fold takes quadratic time
 
 
@@ -38,19 +40,16 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 @dataclass
 class RankMap:
-    """Pair -> rank as a perfect hash: slot of key is ``(key % size + shift[key % buckets]) % size``."""
+    """The rank of a pair of pieces: ``slots[base[left] + right]`` holds ``left << BITS | rank`` if there is one."""
 
     pieces: list[bytes]
     bytes_: np.ndarray  # rank of each byte value
+    pairs: np.ndarray  # rank of each pair of byte values, or NONE
     sentinel: int
-    slots: np.ndarray  # key << 17 | rank, or -1
-    shift: np.ndarray
+    slots: np.ndarray
+    base: np.ndarray
     whole: dict[bytes, int]  # pieces that merges alone would not make
 
-    @property
-    def base(self) -> int:
-        return self.sentinel + 1
-
 
 def merge_pairs(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
@@ -58,43 +57,28 @@ def merge_pairs(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
 
 def rank_map(ranks: dict[bytes, int]) -> RankMap:
     top = max(ranks.values()) + 1
+    if top >= NONE:
+        raise ValueError("the vocabulary has too many pieces")
     pieces = [b""] * (top + 1)
     for p, r in ranks.items():
         pieces[r] = p
-    base = top + 1
-    table = {a * base + b: r for a, b, r in merge_pairs(ranks)}
-    keys = np.fromiter(table, np.int64, len(table))
-    size, buckets = _prime(int(len(keys) * 1.6) + 7), _prime(int(len(keys) * 0.45) + 5)
-    slots, shift = np.full(size, -1, np.int64), np.zeros(buckets, np.int64)
-    keys = keys[np.argsort(keys % buckets, kind="stable")]
-    bucket = keys % buckets
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    groups = sorted((keys[a:b] for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)), key=len, reverse=True)
-    taken, free = np.zeros(size, bool), 0
-    for g in groups:
-        home = g % size
-        if len(g) == 1:
-            while taken[free]:
-                free += 1
-            d = (free - int(home[0])) % size
-        else:
-            d = 0
-            while taken[at := (home + d) % size].any():
-                d += 1 + (d % 97)
-        at = (home + d) % size
-        taken[at] = True
-        shift[g[0] % buckets] = d
-        slots[at] = [k << 17 | table[int(k)] for k in g.tolist()]
-    byte_ranks = np.array([ranks.get(bytes([b]), top) for b in range(256)], np.int32)
+    triples = np.array(merge_pairs(ranks), np.int64).reshape(-1, 3)
+    triples = triples[np.argsort(triples[:, 0], kind="stable")]
+    cut = np.flatnonzero(np.concatenate([[True], triples[1:, 0] != triples[:-1, 0]])) if len(triples) else np.zeros(0, np.int64)
+    rows = sorted(np.split(triples, cut[1:]), key=len, reverse=True) if len(triples) else []
+    size = max(4 * len(triples), 16)
+    base, slots, place = np.zeros(top + 1, np.int32), np.full(size + top + 1, -1, np.int64), 0
+    for row in rows:  # sparse rows laid over each other where they don't clash
+        right = row[:, 1]
+        while (slots[right + place] >= 0).any():
+            place = (place * 5 + 7919) % size
+        base[row[0, 0]] = place
+        slots[right + place] = row[:, 0] << BITS | row[:, 2]
+        place = (place + 7919) % size
+    byte_ranks = np.array([ranks.get(bytes([b]), top) for b in range(256)], np.int64)
+    pairs = np.array([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
     whole = {p: r for p, r in ranks.items() if merge(p, ranks) != [r]}
-    return RankMap(pieces, byte_ranks, top, slots, shift, whole)
-
-
-def _prime(n: int) -> int:
-    n |= 1
-    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
-        n += 2
-    return n
+    return RankMap(pieces, byte_ranks, pairs, top, slots, base, whole)
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -126,78 +110,88 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 # ---- the fold, in the JVM
+#
+# A word is an array of numbers, one for each token: the rank of its pair with the next token, its place, and its id, from the
+# high bits down. The least number is then the leftmost pair of the lowest rank. A token that is in no pair goes before it.
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
+def word_state(ranks: RankMap, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offsets) of words given as bytes in a row and where each ends."""
+    n, words = len(flat), len(ends)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    pair = np.full(n, NONE, np.int64)
+    pair[:-1] = ranks.pairs[flat[:-1].astype(np.int64) * 256 + flat[1:]] if n > 1 else pair[:-1]
+    pair[ends - 1] = NONE
+    place = np.arange(n) - np.repeat(starts, ends - starts) + 1
+    state = pair << (BITS + PLACE) | np.minimum(place, LONG_WORD) << BITS | ranks.bytes_[flat]
+    out = np.insert(state, starts, NONE << (BITS + PLACE) | ranks.sentinel)
+    return out, np.concatenate([[0], ends + np.arange(1, words + 1)])
 
-def _lookup(key: Column, slots: Column, shift: Column, size: int, buckets: int) -> Column:
-    slot = (key % F.lit(size) + F.get(shift, (key % F.lit(buckets)).cast("int"))) % F.lit(size)
-    found = lambda v: F.when(F.shiftright(v, 17) == key, v.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")).otherwise(F.lit(NONE))
-    return _let(F.get(slots, slot.cast("int")), found)
 
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
 
-def fold_merges(word: Column, slots: Column, shift: Column, size: int, buckets: int, base: int, sentinel: int) -> Column:
-    """array<int> of byte ranks -> array<int> of token ids.
 
-    Both ends carry a sentinel that is in no pair. The state is the tokens ``t`` and the ranks ``p`` of neighbours; a step
-    merges the leftmost pair of the lowest rank, and looks up its two new neighbours only.
-    """
-    find = lambda k: _lookup(k, slots, shift, size, buckets)
-    edge = F.array(F.lit(sentinel))
-    key = lambda a, b: a.cast("long") * F.lit(base) + b
-    big = F.lit(1 << 30)
+def fold_merges(word: Column, slots: Column, base: Column) -> Column:
+    """array<bigint> of ``word_state`` -> array<int> of token ids: merges one pair after the other until none is left."""
+    big, mask, low = F.lit(1 << 30), F.lit(NONE).cast("bigint"), F.lit((1 << (BITS + PLACE)) - 1).cast("bigint")
+    places = F.lit(((1 << PLACE) - 1) << BITS).cast("bigint")
+    end = F.lit(NONE << (BITS + PLACE)).cast("bigint")
 
-    def step(acc, m):
-        t, p = acc["t"], acc["p"]
+    def rank(left, right):
+        """Rank of a pair, in its place in the number; null where there is no token to the right."""
+        return _let(F.get(slots, F.get(base, left) + right), lambda v: F.when(F.shiftright(v, BITS) == left, F.shiftleft(v.bitwiseAND(mask), BITS + PLACE)).otherwise(end))
 
+    def merge_least(e, least):
         def at(i):
-            left = key(F.get(t, i - 2), m)
-            right = key(m, F.get(t, i + 1))
-            new_t = F.concat(F.slice(t, F.lit(1), i - 1), F.array(m), F.slice(t, i + 2, big))
-            new_p = F.concat(F.slice(p, F.lit(1), i - 2), F.transform(F.array(left, right), find), F.slice(p, i + 2, big))
-            return F.struct(new_t.alias("t"), new_p.alias("p"))
+            made = F.shiftright(least, BITS + PLACE).cast("int")
+            before, after = F.get(e, i - 2), F.get(e, i + 1)
+            left = rank(before.bitwiseAND(mask).cast("int"), made).bitwiseOR(before.bitwiseAND(low))
+            pair = F.when(after.isNull(), end).otherwise(rank(made, after.bitwiseAND(mask).cast("int")))
+            new = pair.bitwiseOR(least.bitwiseAND(places)).bitwiseOR(made.cast("bigint"))
+            return F.flatten(F.array(F.slice(e, F.lit(1), i - 2), F.array(left, new), F.slice(e, i + 2, big)))
 
-        return _let(F.array_position(p, m).cast("int"), at)
+        return _let(F.array_position(e, least).cast("int"), at)
 
-    def body(padded):
-        first = F.concat(F.array(F.lit(NONE)), F.transform(F.slice(F.arrays_zip(padded.alias("a"), F.slice(padded, F.lit(2), big).alias("b")), F.lit(2), F.size(padded) - 3), lambda z: find(key(z["a"], z["b"]))), F.array(F.lit(NONE)))
-        start = F.struct(padded.alias("t"), first.alias("p"))
-        fold = F.aggregate(F.slice(padded, F.lit(1), F.size(padded) - 3), start, lambda acc, _: _let(F.array_min(acc["p"]), lambda m: F.when(m == NONE, acc).otherwise(step(acc, m))), lambda acc: F.slice(acc["t"], F.lit(2), F.size(acc["t"]) - 2))
-        return F.when(F.size(padded) < 4, F.slice(padded, F.lit(2), F.lit(1))).otherwise(fold)
+    def step(e, _):
+        return _let(F.array_min(e), lambda least: F.when(least >= end, e).otherwise(merge_least(e, least)))
 
-    return _let(F.concat(edge, word, edge), body)
+    ids = lambda e: F.transform(F.slice(e, F.lit(2), big), lambda x: x.bitwiseAND(mask).cast("int"))
+    return F.aggregate(F.slice(word, F.lit(3), big), word, step, ids)
 
 
-BLOCK = "doc_id array<long>, n_words array<int>, codes array<int>, words array<array<int>>, slots array<long>, shift array<long>, pieces array<binary>"
+BLOCK = "first long, doc_id array<long>, n_words array<int>, codes array<int>, words array<array<long>>, slots array<long>, base array<int>, pieces array<binary>"
 
 
 def word_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> DataFrame:
-    """A row for each run of texts of about ``block_bytes``: distinct words as byte ranks, and word numbers of every text."""
+    """A row for each run of texts of about ``block_bytes``: new distinct words, and word numbers of every text.
+
+    Words are numbered over a task's blocks, from 0 again where ``first`` is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: RankMap = shared.value[0]
         split = regex.compile(pattern).findall
-        ids, n_words, codes, seen, size = [], [], [], {}, 0
+        ids, n_words, codes, seen, new, size = [], [], [], {}, [], 0
 
         def block():
-            words = [w.encode("utf-8", "surrogatepass") for w in seen]
-            lens = np.fromiter(map(len, words), np.int64, len(words))
-            flat = ranks.bytes_[np.frombuffer(b"".join(words), np.uint8)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat, pa.int32()))
+            words = [w.encode("utf-8", "surrogatepass") for w in new]
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            state, offsets = word_state(ranks, np.frombuffer(b"".join(words), np.uint8), ends)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(state, pa.int64()))
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if not isinstance(x, pa.Array) else x)
             return pa.RecordBatch.from_arrays(
                 [
+                    pa.array([len(seen) - len(new)], pa.int64()),
                     one(ids, pa.int64()),
                     one(np.array(n_words, np.int32), pa.int32()),
                     one(np.concatenate([*codes, np.zeros(0, np.int32)]), pa.int32()),
                     one(lists, None),
                     one(ranks.slots, pa.int64()),
-                    one(ranks.shift, pa.int64()),
+                    one(ranks.base, pa.int32()),
                     one(ranks.pieces, pa.binary()),
                 ],
-                ["doc_id", "n_words", "codes", "words", "slots", "shift", "pieces"],
+                ["first", "doc_id", "n_words", "codes", "words", "slots", "base", "pieces"],
             )
 
         for batch in batches:
@@ -205,13 +199,16 @@ def word_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> Data
                 found = split(text) if text else []
                 for w in set(found).difference(seen):
                     seen[w] = len(seen)
+                    new.append(w)
                 ids.append(i)
                 n_words.append(len(found))
                 codes.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield block()
-                    ids, n_words, codes, seen, size = [], [], [], {}, 0
+                    ids, n_words, codes, new, size = [], [], [], [], 0
+                    if len(seen) > HELD_WORDS:
+                        seen.clear()
         if ids:
             yield block()
 
@@ -230,36 +227,39 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 8
     shared = spark.sparkContext.broadcast((m, ranks))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = word_blocks(rows, shared, pattern, block_bytes)
-    fold = lambda w: fold_merges(w, F.col("slots"), F.col("shift"), len(m.slots), len(m.shift), m.base, m.sentinel)
-    short = lambda w: F.when(F.size(w) < LONG_WORD, fold(w)).otherwise(w)
+    fold = lambda w: fold_merges(w, F.col("slots"), F.col("base"))
+    plain = lambda w: F.transform(F.slice(w, F.lit(2), F.lit(1 << 30)), lambda x: x.bitwiseAND(F.lit(NONE).cast("bigint")).cast("int"))
+    short = lambda w: F.when(F.size(w) <= LONG_WORD, fold(w)).otherwise(plain(w))
     coded = blocks.withColumn("ids", F.transform("words", short))
     piece = lambda i: F.get(F.col("pieces"), i)
     spell = lambda ids: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, piece(i)))
-    coded = coded.select("doc_id", "n_words", "codes", "ids", F.transform("ids", spell).alias("spelled"), F.transform("words", F.size).alias("n_bytes"))
+    coded = coded.select("first", "doc_id", "n_words", "codes", "ids", F.transform("ids", spell).alias("spelled"), F.transform("words", lambda w: F.size(w) - 1).alias("n_bytes"))
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, ranks = shared.value
+        lens, flat, words = np.zeros(0, np.int64), np.zeros(0, np.uint32), []
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, n_words, codes, lists, spelled, n_bytes = (batch.column(c)[row].values for c in ("doc_id", "n_words", "codes", "ids", "spelled", "n_bytes"))
-                words = spelled.to_pylist()
-                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
-                offsets, flat = offsets - offsets[0], flat[offsets[0] : offsets[-1]]
-                lens = np.diff(offsets)
-                other: dict[int, np.ndarray] = {}
-                for k in np.flatnonzero(n_bytes.to_numpy(zero_copy_only=False) >= LONG_WORD).tolist():
-                    other[k] = np.array(merge(words[k], ranks), np.uint32)
-                for k, w in enumerate(words) if m.whole else ():
-                    if w in m.whole:
-                        other[k] = np.array([m.whole[w]], np.uint32)
+                new = spelled.to_pylist()
+                offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+                sizes = np.diff(offsets).astype(np.int64)
+                tokens = tokens[offsets[0] : offsets[-1]]
+                other: dict[int, list[int]] = {k: merge(new[k], ranks) for k in np.flatnonzero(n_bytes.to_numpy(zero_copy_only=False) >= LONG_WORD).tolist()}
+                if m.whole:
+                    other |= {k: [m.whole[w]] for k, w in enumerate(new) if w in m.whole}
                 if other:
-                    parts = [other[k] if k in other else flat[offsets[k] : offsets[k + 1]] for k in range(len(words))]
-                    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-                    flat = np.concatenate(parts)
-                    offsets = np.concatenate([[0], np.cumsum(lens)])
-                    for k in other:
-                        words[k] = b"".join(m.pieces[i] for i in other[k].tolist())
+                    at = np.concatenate([[0], np.cumsum(sizes)])
+                    parts = [np.array(other[k], np.uint32) if k in other else tokens[at[k] : at[k + 1]] for k in range(len(new))]
+                    sizes, tokens = np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+                    for k, own in other.items():
+                        new[k] = b"".join(m.pieces[i] for i in own)
+                if batch.column("first")[row].as_py() == 0:
+                    lens, flat, words = lens[:0], flat[:0], []
+                lens, flat = np.concatenate([lens, sizes]), np.concatenate([flat, tokens])
+                words += new
+                offsets = np.concatenate([[0], np.cumsum(lens)])
                 codes = codes.to_numpy(zero_copy_only=False)
                 at, sizes, a, b, lists_out = 0, [], [], [], []
                 for n in n_words.to_numpy(zero_copy_only=False).tolist():
