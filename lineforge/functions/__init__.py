@@ -1,0 +1,3 @@
+"""Column functions."""
+
+from .sequence import *  # noqa: F403
