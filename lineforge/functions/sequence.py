@@ -108,26 +108,16 @@ def fragment_label(key: Column, start: Column, end: Column, rc: Column) -> Colum
 def pack2bit(seq: Column) -> Column:
     """Hex of the little-endian 2-bit packing, four bases a byte; others than c, g, t pack as a."""
     codes = F.translate(F.translate(seq, "cgtCGT", "123123"), "aAnN", "0000")
-    padded = F.rpad(codes, (F.ceil(F.length(codes) / 4) * 4).cast("int"), F.lit("0"))
-
-    def byte(i):
-        d = lambda k: F.substring(padded, (i * 4 + k + 1).cast("int"), F.lit(1)).cast("int")
-        return F.lpad(F.hex((d(0) + 4 * d(1) + 16 * d(2) + 64 * d(3)).cast("bigint")), 2, "0")
-
-    n = F.ceil(F.length(codes) / 4).cast("int")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), byte), "")).otherwise("")
+    padded = F.concat(codes, F.repeat(F.lit("0"), F.pmod(-F.length(codes), F.lit(4))))
+    fours = F.regexp_extract_all(padded, F.lit("[0-3]{4}"), F.lit(0))
+    return F.array_join(F.transform(fours, lambda x: F.lpad(F.conv(F.reverse(x), 4, 16), 2, "0")), "")
 
 
 def unpack2bit(packed_hex: Column, length: Column) -> Column:
     """Lower-case bases of ``pack2bit`` text."""
-    n = (F.length(packed_hex) / 2).cast("int")
-
-    def bases(i):
-        b = F.conv(F.substring(packed_hex, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit("acgt"), (F.shiftright(b, 2 * k).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for k in range(4)])
-
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), bases), "")
-    return F.when(n > 0, F.substring(text, F.lit(1), length)).otherwise("")
+    twos = F.regexp_extract_all(packed_hex, F.lit("[0-9A-F]{2}"), F.lit(0))
+    text = F.array_join(F.transform(twos, lambda x: F.reverse(F.lpad(F.conv(x, 16, 4), 4, "0"))), "")
+    return F.substring(F.translate(text, "0123", "acgt"), F.lit(1), length)
 
 
 def match_position(a: Column, b: Column) -> Column:

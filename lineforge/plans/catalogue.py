@@ -171,7 +171,7 @@ def containment_filter(spark, sf_dir):
 
 
 @query("""
-    SELECT obj, count(*) FILTER (event_type = 'click') AS n
+    SELECT CAST(obj AS BIGINT) AS obj, count(*) FILTER (event_type = 'click') AS n
     FROM (SELECT event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS obj FROM events) GROUP BY obj""")
 def count_until_next(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
@@ -380,9 +380,9 @@ def concat_parts(spark, sf_dir):
     return one(0, "o_orderstatus = 'O'").unionByName(one(1, "o_orderstatus <> 'O'"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ord, p_partkey, p_size FROM part WHERE p_size >= 10 AND p_retailprice > 1000")
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ord, p_partkey, p_size FROM part WHERE p_size >= 10 AND p_partkey % 3 = 0")
 def trim_renumber(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size >= 10 and p_retailprice > 1000").select("p_partkey", "p_size")
+    p = table(spark, sf_dir, "part").where("p_size >= 10 and p_partkey % 3 = 0").select("p_partkey", "p_size")
     return ordinals.with_running(p, "p_partkey", {"ord": F.lit(1)}).select("ord", "p_partkey", "p_size")
 
 
