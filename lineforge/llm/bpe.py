@@ -118,7 +118,7 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def word_state(ranks: RankMap, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, offsets) of words given as bytes in a row and where each ends."""
     n, words = len(flat), len(ends)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     pair = np.full(n, NONE, np.int64)
     pair[:-1] = ranks.pairs[flat[:-1].astype(np.int64) * 256 + flat[1:]] if n > 1 else pair[:-1]
     pair[ends - 1] = NONE

@@ -22,7 +22,7 @@ EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 BASE = ("email", "ip", "card", "phone")
 TERM_KINDS = ("removed", "generalised")
 WORD = r"\p{L}{3,}"

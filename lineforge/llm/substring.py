@@ -86,8 +86,8 @@ def _positions(ids: np.ndarray, owner: np.ndarray, pos: np.ndarray) -> pa.Record
     """One row a document: packed positions."""
     order = np.lexsort((pos, owner))
     owner, pos = owner[order], pos[order].astype("<u4")
-    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(owner))
+    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
+    ends = np.append(cut[1:], len(owner))[: len(cut)]
     blobs = [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids[owner[cut]], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "at"])
 
