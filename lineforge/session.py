@@ -17,7 +17,6 @@ def get_spark(app: str = "lineforge", cpus: int | str = "*", **conf: str) -> Spa
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)

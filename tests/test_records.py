@@ -176,3 +176,42 @@ def test_barcodes_against_brute_force(spark):
     for r in barcode.correct(df, 4, 5).collect():
         want = ("valid", r.code) if r.code in valid else ("repaired", near(r.code)[0]) if len(near(r.code)) == 1 else ("dropped", None)
         assert (r.status, r.corrected) == want
+
+
+def test_data_source(spark, tmp_path):
+    from lineforge.sources import datasource
+
+    p = tmp_path / "n.seq"
+    p.write_text(NESTED)
+    datasource.register(spark)
+    df = spark.read.format("lineforge").option("path", str(p)).option("splitBytes", 9).load()
+    assert [(r.line_type, r.str) for r in df.orderBy("line_no").collect()] == [("s", "pile"), ("n", None), ("S", "ggcatt"), ("n", None), ("S", "ccagta")]
+    assert df.where("line_type = 'S'").count() == 2 and df.where("line_type in ('s', 'n') and line_type != 's'").count() == 2
+    out = str(tmp_path / "w")
+    df.write.format("lineforge").option("path", out).option("schemaText", "P 3 seq\nO s 2 3 INT 6 STRING\nG S 0\nD n 1 3 INT\nO S 1 3 DNA\n").option("type", "seq").mode("append").save()
+    assert sum(len(x.read_text().splitlines()) for x in (tmp_path / "w").glob("part-*")) == 5
+
+
+def test_streamed_lines(spark, tmp_path):
+    from lineforge.streaming.lines import running_line_stats, stream_records
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("S 4 acgt\nI 2 xy\nS 2 gg\n")
+    schema = RecordSchema.for_type("P 3 seq\nO S 1 3 DNA\nD I 1 6 STRING\n", "seq")
+    q = running_line_stats(stream_records(spark, str(tmp_path / "in"), schema)).writeStream.outputMode("complete").format("memory").queryName("line_stats_test").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.line_type, r.n, r.max_len, r.total_len) for r in spark.table("line_stats_test").collect()} == {("S", 2, 4, 6), ("I", 1, 2, 2)}
+
+
+def test_simulated_reads(spark):
+    from lineforge.operators import simulate
+
+    seq = "".join(random.Random(1).choice("acgt") for _ in range(5000))
+    df = spark.createDataFrame([("x", seq), ("short", "acgt")], "id string, seq string")
+    reads = simulate.shotgun(df, 3, 400, seed=5).collect()
+    assert reads == simulate.shotgun(df, 3, 400, seed=5).collect() and sum(r.end - r.beg for r in reads) >= 15000
+    comp = str.maketrans("acgt", "tgca")
+    assert all(r.seq == (seq[r.beg : r.end].translate(comp)[::-1] if r.rc else seq[r.beg : r.end]) for r in reads)
+    v = spark.range(2000).select(simulate.poisson(3, 2.0).alias("p"), simulate.geometric(9, 0.5).alias("g")).agg(F.avg("p"), F.avg("g")).first()
+    assert abs(v[0] - 2) < 0.2 and abs(v[1] - 1) < 0.2
