@@ -58,9 +58,19 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Send texts to Python in batches of a few MB, whatever their lengths, unless the session asks for fewer bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not (now.isdigit() and int(now) <= most):
+        spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``make`` builds a task's batch function once."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
