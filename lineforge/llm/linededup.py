@@ -215,7 +215,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_out: bool = False) -
         return f
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = texts.join(bitmaps.select("doc_id", "last_dropped", "keep_bitmap"), "doc_id", "left")
+    # the same join at every size: bitmaps grow with the texts
+    joined = texts.join(bitmaps.select("doc_id", "last_dropped", "keep_bitmap").hint("merge"), "doc_id", "left")
     return arrow_map(joined, make, schema)
 
 
