@@ -108,7 +108,7 @@ def disclosures(found: DataFrame, docs: DataFrame, reach: int, least_docs: int,
     return mentions, written(risky, "risky")
 
 
-def sanitise_spans(docs: DataFrame, reach: int = 60, least_docs: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise_spans(docs: DataFrame, reach: int = 60, least_docs: int = 1, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, row, spans): base spans and those of disclosing terms, one row for every row of ``docs``.
 
     ``spans``: array of (start, kind, end, value) by start, then kind; kinds 0 to 3 are the base, 4 terms to remove, 5 terms to
