@@ -1,9 +1,9 @@
 """Personal data and the terms that reveal it, with DataFrame functions alone.
 
 Base spans are regular expressions with checks: e-mail, IP, card and phone numbers. Every value found is a protected entity. A
-term near it (within ``reach`` code points) discloses the entity as far as its presence tells it: the pointwise mutual
-information of term and entity over the corpus, as a fraction of the entity's information content. Terms above the upper
-threshold are removed, those above the lower one generalised.
+term in the same document discloses the entity as far as its presence tells it: the pointwise mutual information of term and
+entity over the corpus, as a fraction of the entity's information content. Terms above the upper threshold are removed, those
+above the lower one generalised, in every document that has them.
 
 The patterns use possessive quantifiers where greedy ones would give the same match, as these need no stack in the regular
 expression engine, and start runs only where a run begins, so that long runs take linear time.
@@ -34,9 +34,9 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _matches(text: Column, pattern: str, kind: int, valid) -> Column:
+def _matches(text: Column, pattern: str | Column, kind: int, valid) -> Column:
     """array<span> of the valid matches of one kind."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.split(text, pattern, -1).alias("g"))
+    both = F.struct(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("v"), F.split(text, pattern, -1).alias("g"))
     empty = F.array().cast(f"array<{_SPAN}>")
 
     def place(b):
@@ -68,67 +68,70 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _context_terms(text: Column, span: Column, spans: Column, reach: int) -> Column:
-    """array<struct<term, start, end>> of whole words within ``reach`` code points of a span, outside all spans."""
-
-    def side(lo: Column, hi: Column, cut_left: Column, cut_right: Column):
-        part = F.substring(text, lo + 1, hi - lo)
-        found = _matches(part, WORD, 0, lambda v: F.lit(True))
-        whole = F.filter(found, lambda s: ~(cut_left & (s["start"] == 0)) & ~(cut_right & (s["end"] == hi - lo)))
-        return F.transform(whole, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + lo).alias("start"), (s["end"] + lo).alias("end")))
-
-    n = F.length(text)
-    lo, hi = F.greatest(span["start"] - reach, F.lit(0)), F.least(span["end"] + reach, n)
-    # a word that touches the span isn't whole: it belongs to the value's neighbourhood as written
-    left = side(lo, span["start"], lo > 0, F.lit(False))
-    right = side(span["end"], hi, F.lit(False), hi < n)
-    clear = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return F.filter(F.concat(left, right), clear)
-
-
-def disclosures(found: DataFrame, docs: DataFrame, reach: int, least_docs: int, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
-    """(mentions, risky): term mentions near entities; (entity, term, kind) of the pairs above the thresholds."""
-    some = found.where(F.size("spans") > 0).select("doc_id", "row", "text", "spans", F.explode("spans").alias("s"))
-    entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.when(F.col("s.kind") < 2, F.lower("s.value")).otherwise(_digits(F.col("s.value"))))
-    near = some.select("doc_id", "row", entity.alias("entity"), F.explode(_context_terms(F.col("text"), F.col("s"), F.col("spans"), reach)).alias("t"))
-    mentions = written(near.select("doc_id", "row", "entity", "t.term", "t.start", "t.end"), "mentions")
-    n_docs = docs.count()
-    held = some.select("doc_id", "row", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = mentions.select("doc_id", "row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
-    joint = written(joint.join(held, "entity"), "joint")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    in_docs = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = joint.join(in_docs, "term")
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans; positions stay."""
+
+    def blank(acc, s):
+        return F.concat(F.substring(acc, F.lit(1), s["start"]), F.repeat(F.lit(" "), s["end"] - s["start"]), F.substring(acc, s["end"] + 1, F.length(acc)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, text, blank))
+
+
+def _entity(s: Column) -> Column:
+    return F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] < 2, F.lower(s["value"])).otherwise(_digits(s["value"])))
+
+
+def disclosures(found: DataFrame, least_docs: int, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
+    """(risky, in_docs): (term, kind) of the terms that are above a threshold for any entity; (term, n_t) of all.
+
+    ``found``: (spans, words) of every document, its base spans and the distinct words outside them.
+    """
+    terms = F.array_distinct(F.transform("words", F.lower))
+    in_docs = written(found.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "document-counts")
+    some = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"), terms.alias("terms"))
+    n_docs = found.count()
+    held = some.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # the entity's count goes along with the terms, as pairs are many and each join would move them again
+    joint = some.join(held, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    joint = joint.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
+    told = joint.select("n_e", "n_te", "term").join(in_docs, "term")
     bits = lambda x: F.log2(x.cast("double"))
     content = F.lit(float(n_docs)).cast("double")
     ic = bits(content) - bits(F.col("n_e"))
     pmi = bits(F.col("n_te")) + bits(content) - bits(F.col("n_e")) - bits(F.col("n_t"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    risky = told.where(share >= generalise).select("entity", "term", F.when(share >= remove, 4).otherwise(5).alias("kind"))
-    return mentions, written(risky, "risky")
+    # a term that one entity wants removed and another generalised is removed
+    risky = told.where(share >= generalise).groupBy("term").agg(F.min(F.when(share >= remove, 4).otherwise(5)).alias("kind"))
+    return written(risky, "risky"), in_docs
 
 
-def sanitise_spans(docs: DataFrame, reach: int = 60, least_docs: int = 1, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise_spans(docs: DataFrame, least_docs: int = 1, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, row, spans): base spans and those of disclosing terms, one row for every row of ``docs``.
 
     ``spans``: array of (start, kind, end, value) by start, then kind; kinds 0 to 3 are the base, 4 terms to remove, 5 terms to
-    generalise. A pair of entity and term counts if ``least_docs`` documents at least have the term near the entity. Null text
-    counts as empty. Rows without doc_id and rows that repeat one are documents of their own text; other columns are ignored,
-    and an empty table gives an empty result.
+    generalise. A pair of entity and term counts if ``least_docs`` documents at least have both. A term that discloses any
+    entity is listed wherever a document has it outside base spans. Null text counts as empty. Rows without doc_id and rows that
+    repeat one are documents of their own text; other columns are ignored, and an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = docs.select("doc_id", F.xxhash64("text").alias("row"), "text", base_spans(F.col("text")).alias("spans"))
-    base = written(found.select("doc_id", "row", "spans"), "base-spans")
-    with_text = written(found.where(F.size("spans") > 0), "with-spans")
-    mentions, risky = disclosures(with_text, docs, reach, least_docs, generalise, remove)
-    flagged = mentions.join(risky, ["entity", "term"])
-    span = F.struct(F.col("start"), F.col("kind"), F.col("end"), F.col("term").alias("value"))
-    terms = flagged.groupBy("doc_id", "row").agg(F.collect_set(span).alias("more"))
-    joined = base.alias("b").join(terms.alias("t"), F.col("b.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("b.row") == F.col("t.row")), "left")
-    # a term that one entity wants removed and another generalised is removed
-    more = F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))
-    kept = F.filter(more, lambda x: (x["kind"] == 4) | ~F.exists(more, lambda y: (y["kind"] == 4) & (y["start"] == x["start"])))
-    return joined.select("b.doc_id", "b.row", F.array_sort(F.concat("spans", kept)).alias("spans"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    spanned = rows.select("*", base_spans(F.col("text")).alias("spans"))
+    clear = spanned.select("doc_id", "row", "spans", masked(F.col("text"), F.col("spans")).alias("clear"))
+    found = written(clear.select("doc_id", "row", "spans", F.array_distinct(F.regexp_extract_all("clear", F.lit(WORD), F.lit(0))).alias("words")), "words")
+    risky, in_docs = disclosures(found.select("spans", "words"), least_docs, generalise, remove)
+    # harmless words of a 200th of the documents, no more than 200 times a document's words, need not be looked up
+    harmless = in_docs.where(F.col("n_t") * 200 >= found.count()).join(risky, "term", "left_anti").select("term")
+    words = found.select("doc_id", "row", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    hits = words.join(F.broadcast(harmless), "term", "left_anti").join(risky, "term").groupBy("doc_id", "row").agg(F.collect_set(F.struct("word", "kind")).alias("hits"))
+    hits = written(hits, "hits")
+    joined = rows.alias("a").join(hits.alias("h"), F.col("a.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("a.row") == F.col("h.row")), "left")
+    spanned = joined.select("a.doc_id", "a.row", "text", "hits", base_spans(F.col("text")).alias("spans"))
+    clear = spanned.select("doc_id", "row", "spans", "hits", masked(F.col("text"), F.col("spans")).alias("clear"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("hits", lambda h: h["word"]), "|"), F.lit(r")(?!\p{L})"))
+    kinds = F.map_from_entries("hits")
+    place = lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, s["value"]).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))
+    more = F.transform(_matches(F.col("clear"), pattern, 4, lambda v: F.lit(True)), place)
+    return clear.select("doc_id", "row", F.when(F.col("hits").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", more))).alias("spans"))
 
 
 def span_string(spans: Column) -> Column:
