@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A task packs consecutive texts into a block: its distinct words (matches of the split pattern) as arrays of byte ranks, and for
-each text the numbers of its words. The JVM then folds ranked merges over every distinct word with ``aggregate``; the rank map
-is a constant array column looked up by arithmetic alone. Decoding concatenates the pieces' bytes the same way. Block rows
-never leave their task: nothing is shuffled, and a block's size is bounded whatever the table's.
+A word (match of the split pattern) is cut where two bytes meet that no piece of the vocabulary has side by side: no merge can
+cross such a place. A task packs consecutive texts into a block: its distinct parts of words as arrays of byte ranks, and for
+each text the numbers of its parts. The JVM then folds ranked merges over every distinct part with ``aggregate``, a lowest pair
+at a time, or in long parts all places of the lowest pair at a time. The rank map is a literal array (a scalar subquery, which
+every task gets once) looked up by arithmetic alone. Decoding concatenates the pieces' bytes the same way. Block rows never
+leave their task: nothing is shuffled, and a block's size is bounded whatever the table's.
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-
-
-BITS, PLACE = 17, 12  # of an id or rank, and of a place in a word
+BITS, PLACE = 17, 7  # of an id or rank, and of a place in a part
 NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
-HELD_WORDS = 1_000_000  # after which a task numbers its words anew
-LONG_WORD = 256  # bytes from which merges use a heap, as the fold takes quadratic time
+EMPTY = (1 << 2 * BITS) - 1  # what a slot without a pair holds
+HELD_WORDS = 500_000  # after which a task numbers its words anew
+STEPWISE = 100  # bytes of a part up to which one pair is merged a step
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -50,6 +51,7 @@ class RankMap:
     pieces: list[bytes]
     bytes_: np.ndarray  # rank of each byte value
     pairs: np.ndarray  # rank of each pair of byte values, or NONE
+    apart: np.ndarray  # pairs of byte values that no piece has side by side
     sentinel: int
     slots: np.ndarray
     base: np.ndarray
@@ -72,18 +74,23 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
     cut = np.flatnonzero(np.concatenate([[True], triples[1:, 0] != triples[:-1, 0]])) if len(triples) else np.zeros(0, np.int64)
     rows = sorted(np.split(triples, cut[1:]), key=len, reverse=True) if len(triples) else []
     size = max(4 * len(triples), 16)
-    base, slots, place = np.zeros(top + 1, np.int32), np.full(size + top + 1, -1, np.int64), 0
+    base, slots, place = np.zeros(top + 1, np.int32), np.full(size + top + 1, EMPTY, np.int64), 0
     for row in rows:  # sparse rows laid over each other where they don't clash
         right = row[:, 1]
-        while (slots[right + place] >= 0).any():
+        while (slots[right + place] != EMPTY).any():
             place = (place * 5 + 7919) % size
         base[row[0, 0]] = place
         slots[right + place] = row[:, 0] << BITS | row[:, 2]
         place = (place + 7919) % size
     byte_ranks = np.array([ranks.get(bytes([b]), top) for b in range(256)], np.int64)
     pairs = np.array([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
+    flat, ends = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.cumsum([len(p) for p in pieces])
+    inside = np.ones(len(flat) - 1, bool)
+    inside[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+    apart = np.ones(1 << 16, bool)
+    apart[(flat[:-1] << 8 | flat[1:])[inside]] = False
     whole = {p: r for p, r in ranks.items() if merge(p, ranks) != [r]}
-    return RankMap(pieces, byte_ranks, pairs, top, slots, base, whole)
+    return RankMap(pieces, byte_ranks, pairs, apart, top, slots, base, whole)
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -116,53 +123,108 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 # ---- the fold, in the JVM
 #
-# A word is an array of numbers, one for each token: the rank of its pair with the next token, its place, and its id, from the
+# A part is an array of numbers, one for each token: the rank of its pair with the next token, its place, and its id, from the
 # high bits down. The least number is then the leftmost pair of the lowest rank. A token that is in no pair goes before it.
 
 
-def word_state(ranks: RankMap, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, offsets) of words given as bytes in a row and where each ends."""
-    n, words = len(flat), len(ends)
+def part_state(ranks: RankMap, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offsets) of parts given as bytes in a row and where each ends."""
+    n, parts = len(flat), len(ends)
     starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     pair = np.full(n, NONE, np.int64)
     pair[:-1] = ranks.pairs[flat[:-1].astype(np.int64) * 256 + flat[1:]] if n > 1 else pair[:-1]
     pair[ends - 1] = NONE
     place = np.arange(n) - np.repeat(starts, ends - starts) + 1
-    state = pair << (BITS + PLACE) | np.minimum(place, LONG_WORD) << BITS | ranks.bytes_[flat]
+    state = pair << (BITS + PLACE) | np.minimum(place, (1 << PLACE) - 1) << BITS | ranks.bytes_[flat]
     out = np.insert(state, starts, NONE << (BITS + PLACE) | ranks.sentinel)
-    return out, np.concatenate([[0], ends + np.arange(1, words + 1)])
+    return out, np.concatenate([[0], ends + np.arange(1, parts + 1)])
+
+
+BIG = 1 << 30
+END = NONE << (BITS + PLACE)
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_merges(word: Column, slots: Column, base: Column) -> Column:
-    """array<bigint> of ``word_state`` -> array<int> of token ids: merges one pair after the other until none is left."""
-    big, mask, low = F.lit(1 << 30), F.lit(NONE).cast("bigint"), F.lit((1 << (BITS + PLACE)) - 1).cast("bigint")
-    places = F.lit(((1 << PLACE) - 1) << BITS).cast("bigint")
-    end = F.lit(NONE << (BITS + PLACE)).cast("bigint")
+def _id(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(NONE).cast("bigint")).cast("int")
+
+
+def _rank(left: Column, right: Column, slots: Column, base: Column) -> Column:
+    """Rank of a pair, or a number from ``NONE`` on; null where there is no token to the right.
+
+    A slot holds its left piece above the rank: what other pieces' slots hold leaves high bits set.
+    """
+    return F.get(slots, F.get(base, left) + right).bitwiseXOR(F.shiftleft(left.cast("bigint"), BITS))
+
 
-    def rank(left, right):
-        """Rank of a pair, in its place in the number; null where there is no token to the right."""
-        return _let(F.get(slots, F.get(base, left) + right), lambda v: F.when(F.shiftright(v, BITS) == left, F.shiftleft(v.bitwiseAND(mask), BITS + PLACE)).otherwise(end))
+def fold_merges(part: Column, slots: Column, base: Column) -> Column:
+    """array<bigint> of ``part_state`` -> array<int> of token ids: merges one pair after the other until none is left."""
+    low, places = F.lit((1 << (BITS + PLACE)) - 1).cast("bigint"), F.lit(((1 << PLACE) - 1) << BITS).cast("bigint")
+    rank = lambda left, right: F.least(F.shiftleft(_rank(left, right, slots, base), BITS + PLACE), F.lit(END))
 
     def merge_least(e, least):
+        made = F.shiftright(least, BITS + PLACE).cast("int")
+
         def at(i):
-            made = F.shiftright(least, BITS + PLACE).cast("int")
-            before, after = F.get(e, i - 2), F.get(e, i + 1)
-            left = rank(before.bitwiseAND(mask).cast("int"), made).bitwiseOR(before.bitwiseAND(low))
-            pair = F.when(after.isNull(), end).otherwise(rank(made, after.bitwiseAND(mask).cast("int")))
-            new = pair.bitwiseOR(least.bitwiseAND(places)).bitwiseOR(made.cast("bigint"))
-            return F.flatten(F.array(F.slice(e, F.lit(1), i - 2), F.array(left, new), F.slice(e, i + 2, big)))
+            before = F.get(e, i - 2)
+            left = rank(_id(before), made).bitwiseOR(before.bitwiseAND(low))
+            new = rank(made, _id(F.get(e, i + 1))).bitwiseOR(least.bitwiseAND(places)).bitwiseOR(made.cast("bigint"))
+            return F.concat(F.slice(e, 1, i - 2), F.array(left, new), F.slice(e, i + 2, BIG))
 
         return _let(F.array_position(e, least).cast("int"), at)
 
     def step(e, _):
-        return _let(F.array_min(e), lambda least: F.when(least >= end, e).otherwise(merge_least(e, least)))
+        return _let(F.array_min(e), lambda least: F.when(least >= END, e).otherwise(merge_least(e, least)))
+
+    return F.aggregate(F.slice(part, 3, BIG), part, step, lambda e: F.transform(F.slice(e, 2, BIG), _id))
+
+
+def fold_passes(part: Column, slots: Column, base: Column) -> Column:
+    """The same ids, merging all places of the lowest pair in a step: time goes with the length times the different pairs.
+
+    Merging from left to right, one pair at a time, gives the same unless a merge makes a pair of lower rank on the way; such a
+    step merges the leftmost place alone.
+    """
+    none = F.lit(NONE).cast("bigint")
+    rank = lambda left, right: F.least(F.coalesce(_rank(left, right, slots, base), none), none)
+    ranked = lambda ids: F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), BITS).bitwiseOR(x.cast("bigint")))
+    state = lambda e: F.struct(e.alias("e"), F.shiftright(F.coalesce(F.array_min(e), F.lit(NONE << BITS).cast("bigint")), BITS).alias("least"))
+
+    def joined(e, least, marks):
+        """Tokens after merging with the next one where ``marks`` has a 1; the 1s aren't side by side."""
+        made = lambda x, i: F.when(F.get(marks, i) == "1", least.cast("int")).when(F.get(marks, i - 1) == "1", F.lit(-1)).otherwise(_id(x))
+        return F.filter(F.transform(e, lambda x, i: F.when(i == 0, F.when(F.get(marks, i) == "1", least.cast("int")).otherwise(_id(x))).otherwise(made(x, i))), lambda x: x >= 0)
+
+    def lower(e, least, marks):
+        """Whether any merge makes a pair of lower rank: its left neighbour is merged already, its right one isn't yet."""
+        new = least.cast("int")
+
+        def at(m, i):
+            left = F.when(i < 1, F.lit(None).cast("int")).when((i > 1) & (F.get(marks, F.greatest(i - 2, F.lit(0))) == "1"), new).otherwise(_id(F.get(e, F.greatest(i - 1, F.lit(0)))))
+            return (m == "1") & ((rank(new, _id(F.get(e, i + 2))) < least) | (rank(left, new) < least))
+
+        return F.exists(F.transform(marks, at), lambda x: x)
+
+    def marked(e, least, places):
+        """A 1 for each token that is merged with the next one: of places side by side the first, the third and so on."""
+        first = _let(F.instr(places, "1"), lambda at: F.transform(e, lambda x, i: F.when(i == at - 1, "1").otherwise("0")))
+        return _let(F.split(F.regexp_replace(places, "11", "10"), ""), lambda m: F.when(lower(e, least, m), first).otherwise(m))
+
+    def step(s, _):
+        e, least = s["e"], s["least"]
+        places = F.array_join(F.transform(e, lambda x: F.when(F.shiftright(x, BITS) == least, "1").otherwise("0")), "")
+        merged = _let(_let(places, lambda p: marked(e, least, p)), lambda m: joined(e, least, m))
+        return F.when(least == NONE, s).otherwise(_let(_let(merged, ranked), state))
 
-    ids = lambda e: F.transform(F.slice(e, F.lit(2), big), lambda x: x.bitwiseAND(mask).cast("int"))
-    return F.aggregate(F.slice(word, F.lit(3), big), word, step, ids)
+    ids = F.transform(F.slice(part, 2, BIG), _id)
+    start = _let(_let(ids, ranked), state)
+    return F.aggregate(F.slice(part, 3, BIG), start, step, lambda s: F.transform(s["e"], _id))
+
+
+# ---- words of a text
 
 
 def _one_byte_pattern(pattern: str) -> str:
@@ -174,12 +236,19 @@ def _one_byte_pattern(pattern: str) -> str:
     return out.replace(r"\s", f"[{blanks}]").replace(r"\S", f"[^{blanks}]")
 
 
+def _all_neighbours() -> str:
+    """A text in which each code point under 256 comes after each other one, alone and in runs."""
+    return "".join(f"{chr(a)}{chr(b)}{chr(a)}{chr(a)}{chr(b)}{chr(b)}" for a in range(256) for b in range(256))
+
+
 def splitter(pattern: str):
-    """text -> words."""
+    """text -> words. The plain engine takes texts of code points under 256, if it splits all neighbours like the full one."""
     whole = regex.compile(pattern).findall
     try:
         small = re.compile(_one_byte_pattern(pattern)).findall
-    except re.error:  # a pattern with other classes than the usual three
+        if small(probe := _all_neighbours()) != whole(probe):
+            return whole
+    except re.error:  # classes that the plain engine doesn't know
         return whole
 
     def split(text: str) -> list[str]:
@@ -195,113 +264,143 @@ def splitter(pattern: str):
 class _Numbers(dict):
     """Words in order of appearance; asking for a new one numbers it."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word) -> int:
         n = self[word] = len(self)
         return n
 
 
-BLOCK = "first long, doc_id array<long>, n_words array<int>, codes array<int>, words array<array<long>>, slots array<long>, base array<int>, pieces array<binary>"
-
-
-def word_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> DataFrame:
-    """A row for each run of texts of about ``block_bytes``: new distinct words, and word numbers of every text.
-
-    Words are numbered over a task's blocks, from 0 again where ``first`` is 0.
+class Parts:
+    """A task's distinct words and parts of words, both numbered from 0."""
+
+    def __init__(self, ranks: RankMap):
+        self.ranks = ranks
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.parts = _Numbers(), _Numbers()  # a part is its bytes, or a piece's id where that stands for a whole word
+        self.of, self.ends, self.sent = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def add_words(self) -> None:
+        """Number the parts of the words that came since the last call."""
+        new = [w.encode("utf-8", "surrogatepass") for w in itertools.islice(self.words, len(self.ends) - 1, None)]
+        if not new:
+            return
+        joined, ends = b"".join(new), np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        flat = np.frombuffer(joined, np.uint8).astype(np.int64)
+        cut = np.ones(len(flat), bool)
+        cut[1:] = self.ranks.apart[flat[:-1] << 8 | flat[1:]]
+        starts = ends - np.fromiter(map(len, new), np.int64, len(new))
+        cut[starts] = True
+        for k, w in enumerate(new) if self.ranks.whole else ():
+            if w in self.ranks.whole:
+                cut[starts[k] + 1 : ends[k]] = False
+        edges = np.append(np.flatnonzero(cut), len(flat))
+        found = [joined[a:b] for a, b in itertools.pairwise(edges.tolist())]
+        counts = np.diff(np.append(np.searchsorted(edges, starts), len(found)))
+        if self.ranks.whole:
+            for k in np.flatnonzero(counts == 1).tolist():
+                at = int(np.searchsorted(edges, starts[k]))
+                found[at] = self.ranks.whole.get(found[at], found[at])
+        self.of = np.concatenate([self.of, np.fromiter(map(self.parts.__getitem__, found), np.int32, len(found))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the parts of words given by number."""
+        size = self.ends[words + 1] - self.ends[words]
+        return self.of[np.repeat(self.ends[words] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def state(self) -> pa.ListArray:
+        """``part_state`` of the parts that came since the last call."""
+        new = list(itertools.islice(self.parts, self.sent, None))
+        self.sent = len(self.parts)
+        ready = [k for k, p in enumerate(new) if isinstance(p, int)] if self.ranks.whole else []
+        data = [self.ranks.pieces[p][:1] if isinstance(p, int) else p for p in new] if ready else new
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        state, offsets = part_state(self.ranks, np.frombuffer(b"".join(data), np.uint8), ends)
+        for k in ready:
+            state[offsets[k] + 1] = NONE << (BITS + PLACE) | new[k]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(state, pa.int64()))
+
+
+BLOCK = "first long, doc_id array<long>, n_parts array<int>, codes array<int>, parts array<array<long>>"
+
+
+def _one(values, kind=None) -> pa.ListArray:
+    """A list array of one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
+def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> DataFrame:
+    """A row for each run of texts of about ``block_bytes``: new distinct parts, and part numbers of every text.
+
+    Parts are numbered over a task's blocks, from 0 again where ``first`` is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: RankMap = shared.value[0]
-        split = splitter(pattern)
-        ids, n_words, codes, seen, sent, size = [], [], [], _Numbers(), 0, 0
+        split, seen = splitter(pattern), Parts(shared.value)
+        ids, words, size = [], [], 0
 
         def block():
-            words = [w.encode("utf-8", "surrogatepass") for w in itertools.islice(seen, sent, None)]
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-            state, offsets = word_state(ranks, np.frombuffer(b"".join(words), np.uint8), ends)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(state, pa.int64()))
-            one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if not isinstance(x, pa.Array) else x)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([sent], pa.int64()),
-                    one(ids, pa.int64()),
-                    one(np.array(n_words, np.int32), pa.int32()),
-                    one(np.concatenate([*codes, np.zeros(0, np.int32)]), pa.int32()),
-                    one(lists, None),
-                    one(ranks.slots, pa.int64()),
-                    one(ranks.base, pa.int32()),
-                    one(ranks.pieces, pa.binary()),
-                ],
-                ["first", "doc_id", "n_words", "codes", "words", "slots", "base", "pieces"],
-            )
+            first = seen.sent
+            seen.add_words()
+            codes = [seen.codes(w) for w in words]
+            n_parts = np.fromiter(map(len, codes), np.int32, len(codes))
+            cols = [pa.array([first], pa.int64()), _one(ids, pa.int64()), _one(n_parts, pa.int32()), _one(np.concatenate([*codes, np.zeros(0, np.int32)]), pa.int32()), _one(seen.state())]
+            return pa.RecordBatch.from_arrays(cols, ["first", "doc_id", "n_parts", "codes", "parts"])
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = split(text) if text else []
                 ids.append(i)
-                n_words.append(len(found))
-                codes.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
+                words.append(np.fromiter(map(seen.words.__getitem__, found), np.int64, len(found)))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield block()
-                    ids, n_words, codes, sent, size = [], [], [], len(seen), 0
-                    if sent > HELD_WORDS:
+                    ids, words, size = [], [], 0
+                    if len(seen.words) > HELD_WORDS:
                         seen.clear()
-                        sent = 0
         if ids:
             yield block()
 
     return docs.mapInArrow(run, BLOCK)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 8 << 20, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row's whole text; null text counts as empty.
 
     ``ids_sha256`` digests the ids as little-endian unsigned 32-bit numbers, ``decoded_sha256`` the bytes they decode to. Rows
-    without or with a repeated doc_id are encoded like others; an empty table gives an empty result; other columns are ignored.
+    without or with a repeated doc_id are encoded like others; an empty table gives an empty result; other columns, whatever
+    their names, are ignored. A text longer than a block is a block of its own; words of any length take the same way.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ranks = read_ranks(spark, vocabulary)
-    m = rank_map(ranks)
-    shared = spark.sparkContext.broadcast((m, ranks))
+    m = rank_map(read_ranks(spark, vocabulary))
+    literal = spark.createDataFrame(pa.table({"slots": _one(m.slots, pa.int64()), "base": _one(m.base, pa.int32()), "pieces": _one(m.pieces, pa.binary())}))
+    slots, base, pieces = (literal.select(c).scalar() for c in ("slots", "base", "pieces"))
+    shared = spark.sparkContext.broadcast(m)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = word_blocks(rows, shared, pattern, block_bytes)
-    fold = lambda w: fold_merges(w, F.col("slots"), F.col("base"))
-    plain = lambda w: F.transform(F.slice(w, F.lit(2), F.lit(1 << 30)), lambda x: x.bitwiseAND(F.lit(NONE).cast("bigint")).cast("int"))
-    short = lambda w: F.when(F.size(w) <= LONG_WORD, fold(w)).otherwise(plain(w))
-    coded = blocks.withColumn("ids", F.transform("words", short))
-    piece = lambda i: F.get(F.col("pieces"), i)
-    spell = lambda ids: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, piece(i)))
-    coded = coded.select("first", "doc_id", "n_words", "codes", "ids", F.transform("ids", spell).alias("spelled"), F.transform("words", lambda w: F.size(w) - 1).alias("n_bytes"))
+    blocks = part_blocks(rows, shared, pattern, block_bytes).select("*", slots.alias("slots"), base.alias("base"), pieces.alias("pieces"))
+    how = (F.col("slots"), F.col("base"))
+    coded = blocks.withColumn("ids", F.transform("parts", lambda w: F.when(F.size(w) <= STEPWISE, fold_merges(w, *how)).otherwise(fold_passes(w, *how))))
+    spell = lambda ids: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(F.col("pieces"), i)))
+    coded = coded.select("first", "doc_id", "n_parts", "codes", "ids", F.transform("ids", spell).alias("spelled"))
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, ranks = shared.value
-        lens, flat, words = np.zeros(0, np.int64), np.zeros(0, np.uint32), []
+        lens, flat, parts = np.zeros(0, np.int64), np.zeros(0, np.uint32), []
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, n_words, codes, lists, spelled, n_bytes = (batch.column(c)[row].values for c in ("doc_id", "n_words", "codes", "ids", "spelled", "n_bytes"))
-                new = spelled.to_pylist()
-                offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.uint32)
-                sizes = np.diff(offsets).astype(np.int64)
-                tokens = tokens[offsets[0] : offsets[-1]]
-                other: dict[int, list[int]] = {k: merge(new[k], ranks) for k in np.flatnonzero(n_bytes.to_numpy(zero_copy_only=False) >= LONG_WORD).tolist()}
-                if m.whole:
-                    other |= {k: [m.whole[w]] for k, w in enumerate(new) if w in m.whole}
-                if other:
-                    at = np.concatenate([[0], np.cumsum(sizes)])
-                    parts = [np.array(other[k], np.uint32) if k in other else tokens[at[k] : at[k + 1]] for k in range(len(new))]
-                    sizes, tokens = np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
-                    for k, own in other.items():
-                        new[k] = b"".join(m.pieces[i] for i in own)
+                ids, n_parts, codes, lists, spelled = (batch.column(c)[row].values for c in ("doc_id", "n_parts", "codes", "ids", "spelled"))
                 if batch.column("first")[row].as_py() == 0:
-                    lens, flat, words = lens[:0], flat[:0], []
-                lens, flat = np.concatenate([lens, sizes]), np.concatenate([flat, tokens])
-                words += new
+                    lens, flat, parts = lens[:0], flat[:0], []
+                ends = lists.offsets.to_numpy()
+                lens = np.concatenate([lens, np.diff(ends).astype(np.int64)])
+                flat = np.concatenate([flat, lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.uint32)])
+                parts += spelled.to_pylist()
                 offsets = np.concatenate([[0], np.cumsum(lens)])
                 codes = codes.to_numpy(zero_copy_only=False)
                 at, sizes, a, b, lists_out = 0, [], [], [], []
-                for n in n_words.to_numpy(zero_copy_only=False).tolist():
+                for n in n_parts.to_numpy(zero_copy_only=False).tolist():
                     own = codes[at : at + n]
                     at += n
                     size = lens[own]
@@ -309,7 +408,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 8
                     tokens = flat[np.repeat(offsets[own] - (np.cumsum(size) - size), size) + np.arange(total)].astype("<u4")
                     sizes.append(total)
                     a.append(hashlib.sha256(tokens.tobytes()).hexdigest())
-                    b.append(hashlib.sha256(b"".join(map(words.__getitem__, own.tolist()))).hexdigest())
+                    b.append(hashlib.sha256(b"".join(map(parts.__getitem__, own.tolist()))).hexdigest())
                     if with_ids:
                         lists_out.append(tokens.astype(np.int32))
                 cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(a), pa.array(b)]
