@@ -16,6 +16,7 @@ import heapq
 import itertools
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -245,10 +246,12 @@ def splitter(pattern: str):
     """text -> words. The plain engine takes texts of code points under 256, if it splits all neighbours like the full one."""
     whole = regex.compile(pattern).findall
     try:
-        small = re.compile(_one_byte_pattern(pattern)).findall
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # on what may mean something else
+            small = re.compile(_one_byte_pattern(pattern)).findall
         if small(probe := _all_neighbours()) != whole(probe):
             return whole
-    except re.error:  # classes that the plain engine doesn't know
+    except (re.error, FutureWarning):  # classes that the plain engine doesn't know
         return whole
 
     def split(text: str) -> list[str]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import boundaries
-from .common import arrow_map, raw_texts, written
+from .common import arrow_map, numbered, raw_texts, renamed, written
 
 RECIPES = "doc_id long, text_sha256 string, n_bytes long, chunks array<struct<h: long, sha: binary>>"
 
@@ -56,13 +56,8 @@ def verified_ids(occurrences: DataFrame) -> DataFrame:
     return distinct.groupBy("h").agg(F.array_sort(F.collect_set("sha")).alias("shas")).select("h", F.posexplode("shas").alias("ord", "sha"))
 
 
-def exact_duplicates(docs: DataFrame, bits: int = 12, least: int = 1024, most: int = 16384) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row for every row of ``docs``.
-
-    Of equal texts the row with the largest doc_id stays; of rows that repeat that doc_id one stays. A row without doc_id
-    stays only where no row of its group has one. Null text equals empty text. An empty table gives an empty result; other
-    columns of ``docs`` are ignored.
-    """
+def _groups(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
+    """(doc_id, text, rows, keep_id, group_size): for every doc_id and text digest its rows, and what holds for equal texts."""
     table = written(recipes(docs, bits, least, most), "recipes")
     occurrences = table.select("doc_id", F.unhex("text_sha256").alias("text"), F.posexplode("chunks").alias("seq", "c")).select("doc_id", "text", "seq", "c.h", "c.sha")
     ids = written(verified_ids(occurrences), "chunk-ids")
@@ -74,12 +69,34 @@ def exact_duplicates(docs: DataFrame, bits: int = 12, least: int = 1024, most: i
     )
     lists = written(lists, "lists")
     groups = written(lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "groups")
-    out = lists.join(groups, "recipe").select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    return lists.join(groups, "recipe")
+
+
+def exact_duplicates(docs: DataFrame, bits: int = 12, least: int = 1024, most: int = 16384) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row for every row of ``docs``.
+
+    Of equal texts the row with the largest doc_id stays; of rows that repeat that doc_id one stays. A row without doc_id
+    stays only where no row of its group has one. Null text equals empty text. An empty table gives an empty result; other
+    columns of ``docs``, whatever their names, are ignored. Of long texts only chunk digests are moved.
+    """
+    out = _groups(docs, bits, least, most).select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("text")).alias("text_sha256"))
 
 
-def drop_duplicates(docs: DataFrame, **sizes: int) -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` drops; columns unchanged. doc_id must be unique."""
-    kept = exact_duplicates(docs, **sizes).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").select(docs.columns)
+def drop_duplicates(docs: DataFrame, bits: int = 12, least: int = 1024, most: int = 16384) -> DataFrame:
+    """``docs`` without the rows that ``exact_duplicates`` drops; columns, whatever their names, unchanged.
+
+    Where rows repeat a doc_id and a text, the least of them by all columns stays. An empty table stays empty.
+    """
+    groups = _groups(docs, bits, least, most).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = written(groups.select(F.col("doc_id").alias("id"), F.col("text").alias("sha"), "rows"), "kept")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    digest = F.unhex(F.sha2(F.coalesce(at["text"].cast("string"), F.lit("")).cast("binary"), 256))
+    rows = numbered(docs).select("*", at["doc_id"].cast("long").alias("own_id"), digest.alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    once = rows.join(kept.where("rows = 1"), same, "left_semi").select(columns)
+    again = rows.join(kept.where("rows > 1"), same, "left_semi")
+    least_row = again.groupBy("own_id", "own_sha").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+    return renamed(once.union(least_row), docs.columns)

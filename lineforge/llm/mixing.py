@@ -2,7 +2,8 @@
 
 Source token shares p are raised to an exponent and normalised; the exponent is bisected to meet a target entropy and a limit
 on repetition. Each source's weight becomes a token budget, realised epoch by epoch as permutations of the source's blocks:
-whole epochs first, then blocks of the next permutation until the budget is reached.
+whole epochs first, then blocks of the next permutation until the budget is reached. The number of blocks grows with the root
+of the largest source's tokens, so that a budget is overshot by ever less and the permutations stay small.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, renamed, written
 
 LEVELS = 5  # of the bisection in one pass over the source totals
 
@@ -29,7 +30,7 @@ class Mix:
     tokens: int | None = None
     epochs: float = 1.0
     whole: bool = False
-    blocks: int = 64
+    blocks: int = 64  # of a source, while the largest has up to 2**26 tokens
     seed: int = 42
 
 
@@ -110,20 +111,48 @@ def source_budgets(sources: DataFrame, mix: Mix) -> DataFrame:
     return sources.select("source", "tokens", weight.alias("weight"), budget.alias("budget"))
 
 
-def block_plan(sized: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
-    """(source, block, whole, extra, rank): epochs of every block, and its place in the last, partial permutation.
+def block_number(sizes: DataFrame, mix: Mix) -> int:
+    """Blocks of every source: ``mix.blocks``, doubled whenever the largest source's tokens are four times as many."""
+    most = sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).agg(F.max("n")).first()[0] or 1
+    return mix.blocks << max(0, math.ceil(math.log2(most / (1 << 26)) / 2))
 
-    ``sized``: (source, block, n_tokens). A source has ``mix.blocks`` blocks whatever its size, so that the permutations are
-    small and windows bounded.
+
+def block_plan(sizes: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    """(source, block, epochs): in how many epochs every block is, and the number of blocks.
+
+    ``sizes``: (source, h, n_tokens) of every row; a row's block is ``h`` modulo the number of blocks.
     """
-    blocks = written(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")), "blocks")
+    n_blocks = block_number(sizes, mix)
+    blocks = written(sizes.groupBy("source", (F.col("h") % n_blocks).alias("block")).agg(F.sum("n_tokens").alias("n")), "blocks")
     budgets = written(source_budgets(blocks.groupBy("source").agg(F.sum("n").alias("tokens")), mix), "budgets")
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)).cast("long")
     joined = blocks.join(budgets, blocks["source"].eqNullSafe(budgets["source"])).select(blocks["source"], "block", "n", "tokens", "budget", whole.alias("whole"))
     ordered = joined.withColumn("r", _hash(F.lit(mix.seed), F.col("source"), F.col("whole"), F.col("block")))
     before = "coalesce(sum(n) over (partition by source order by r, block rows between unbounded preceding and 1 preceding), 0)"
-    plan = ordered.selectExpr("source", "block", "whole", f"if({before} < budget - whole * tokens, 1, 0) as extra")
-    return written(plan, "block-plan"), budgets
+    plan = ordered.selectExpr("source", "block", f"whole + if({before} < budget - whole * tokens, 1, 0) as epochs")
+    return written(plan, "block-plan"), n_blocks
+
+
+def stream_columns(columns: list[str]) -> list[str]:
+    """Names for epoch, block and order that none of ``columns`` has: with as many leading underscores as it takes."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("_epoch", "_block", "_order"):
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _dealt(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``numbered`` columns with source, n_tokens, epoch, block and order: a row for every epoch its block is in."""
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    rows = numbered(docs).select("*", at["source"].cast("string").alias("own"), _hash(F.lit(mix.seed), at["doc_id"].cast("long")).alias("h"))
+    sizes = written(rows.select(F.col("own").alias("source"), "h", token_count(at["text"].cast("string")).alias("n_tokens")), "sizes")
+    plan, n_blocks = block_plan(sizes, mix)
+    tagged = rows.withColumn("place", F.col("h") % n_blocks)
+    dealt = tagged.join(plan, F.col("own").eqNullSafe(F.col("source")) & (F.col("place") == F.col("block")))
+    out = dealt.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
+    return out.withColumn("order", _hash(F.lit(mix.seed), F.col("own"), F.col("epoch"), F.col("block"))).withColumn("block", F.col("block").cast("int"))
 
 
 def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -131,22 +160,25 @@ def mix_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows in the order (_epoch, _order, _block) within a source are that source's training stream. Null sources form one source
     of their own; sources without any word are kept for one epoch. A source's last block may exceed its budget by less than a
-    block. Rows that repeat count as so many rows; an empty table gives an empty result.
+    block. Rows that repeat count as so many rows; rows without doc_id share a block of their source. An empty table gives an
+    empty result. Where ``docs`` has such a column itself, see ``stream_columns`` for the name. Long texts aren't moved.
+    """
+    out = _dealt(docs, mix)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*own, *[F.col(c).alias(name) for c, name in zip(("epoch", "block", "order"), stream_columns(docs.columns), strict=True)])
+
+
+def mix_stream(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of ``mix_rows`` in the order of the stream, with the columns of ``docs`` alone.
+
+    Epochs follow one another, and within one the permuted blocks of all sources are interleaved; written out, the order is
+    that of the files. Rows of a block are ordered by a hash of their place, so that a large block spans several partitions.
     """
-    block = (_hash(F.lit(mix.seed), F.col("doc_id")) % mix.blocks).cast("int")
-    tagged = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_block", block)
-    sized = tagged.select(F.col("_source").alias("source"), F.col("_block").alias("block"), token_count(F.col("text").cast("string")).alias("n_tokens"))
-    plan, _ = block_plan(sized, mix)
-    small = plan.count() <= 1_000_000  # rows of about 40 bytes: sources x blocks
-    plan = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("whole") + F.col("extra")).alias("_epochs"))
-    dealt = tagged.join(F.broadcast(plan) if small else plan, tagged["_source"].eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    out = dealt.where("_epochs > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)))
-    order = _hash(F.lit(mix.seed), F.col("_source"), F.col("_epoch"), F.col("_block"))
-    return out.withColumn("_order", order).select(*docs.columns, "_epoch", "_block", "_order")
+    order = [F.col("epoch"), F.col("order"), F.col("block"), F.xxhash64("h", "own", f"c{docs.columns.index('text')}")]
+    return renamed(_dealt(docs, mix).repartitionByRange(*order).sortWithinPartitions(*order), docs.columns)
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, block_order): the stream that realises the mix, without texts."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    out = mix_rows(docs, mix)
-    return out.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_order").alias("block_order"))
+    return _dealt(docs, mix).select(F.col("c0").alias("doc_id"), F.col("c1").alias("source"), token_count(F.col("c2")).alias("n_tokens"), "epoch", "block", F.col("order").alias("block_order"))

@@ -5,7 +5,8 @@ interpolated log probability by joins with the count tables, order by order; eve
 log likelihood is the sum over its characters, so the probabilities can be handed out in slices of bounded size: each slice
 adds its part, and a document's parts are added up.
 
-Thresholds are quantiles of the trusted documents' perplexity in each language.
+The model learns from four fifths of the trusted documents; thresholds are quantiles of the perplexity of the other fifth in
+each language.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
+from .langid import is_training
 
 ORDER = 4
 START = "\x02"
 SLICE = 1_000_000  # n-grams of one broadcast slice: 4 million slots of 12 bytes
-BROADCAST_IDS = 4_000_000
 
 
 def _joined(texts: list[str], order: int) -> np.ndarray:
@@ -53,26 +54,29 @@ def _groups(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[str, list[str],
 
 
 def _distinct_grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
-    """Distinct n-grams that end in a text's character, with counts. Characters are numbered, so that four fit 64 bits."""
+    """Distinct n-grams that end in a text's character, with counts. Characters are numbered, so that as many as can be fit 63 bits."""
     cps = _joined(texts, order)
     present = np.flatnonzero(np.bincount(cps))
-    if len(present) > 1 << 16:
-        half = max(1, len(texts) // 2)
-        if len(texts) > 1:
-            (a, n), (b, m) = _distinct_grams(texts[:half], order), _distinct_grams(texts[half:], order)
-            return a + b, np.concatenate([n, m])
-        raise ValueError("a text has more than 65536 different characters")
-    number = np.zeros(int(present[-1]) + 1, np.uint64)
-    number[present] = np.arange(len(present), dtype=np.uint64)
+    number = np.zeros(int(present[-1]) + 1, np.int64)
+    number[present] = np.arange(len(present))
     ids = number[cps]
-    n = len(ids) - order + 1
-    packed = np.zeros(max(n, 0), np.uint64)
-    for k in range(order):
-        packed = (packed << np.uint64(16)) | ids[k : k + n]
-    packed = packed[cps[order - 1 :] != ord(START)]
-    grams, counts = np.unique(packed, return_counts=True)
-    columns = [present[((grams >> np.uint64(16 * (order - 1 - k))) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(order)]
-    flat = np.stack(columns, axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") if len(grams) else ""
+    bits = max(1, int(len(present) - 1).bit_length())  # 21 at most, so that three characters fit 63 bits
+    n = len(cps) - order + 1
+    if n <= 0:
+        return [], np.zeros(0, np.int64)
+    per = 63 // bits
+    words = []
+    for at in range(0, order, per):
+        packed = np.zeros(n, np.int64)
+        for k in range(at, min(at + per, order)):
+            packed = (packed << bits) | ids[k : k + n]
+        words.append(packed[cps[order - 1 :] != ord(START)])
+    if len(words) == 1:
+        _, first, counts = np.unique(words[0], return_index=True, return_counts=True)
+    else:
+        _, first, counts = np.unique(np.stack(words, axis=1), axis=0, return_index=True, return_counts=True)
+    at = np.flatnonzero(cps[order - 1 :] != ord(START))[first]
+    flat = cps[at[:, None] + np.arange(order)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     return [flat[i : i + order] for i in range(0, len(flat), order)], counts
 
 
@@ -99,7 +103,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER, limit: int = 2_000_000) ->
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) of one order, from its counts of counts; 1/2, 1 and 3/2 where these don't give any.
+    """(lang, d1, d2, d3) of one order, a row a language, from its counts of counts; 1/2, 1 and 3/2 where these don't give any.
 
     None is under 0.1, so that every context leaves something to unseen n-grams.
     """
@@ -125,7 +129,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> list[dict[str, DataFrame]]:
             F.sum("n").alias("total"), *[F.count(F.when(n == i, 1)).alias(f"n{i}") for i in (1, 2)], F.count(F.when(n > 2, 1)).alias("n3")
         )
         gamma = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
-        contexts = written(sums.join(disc, "lang").select("lang", "ctx", "total", gamma.alias("gamma"), "d1", "d2", "d3"), f"contexts{k}")
+        contexts = written(sums.join(F.broadcast(disc), "lang").select("lang", "ctx", "total", gamma.alias("gamma"), "d1", "d2", "d3"), f"contexts{k}")
         off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         grams = counts.withColumn("ctx", ctx).join(contexts, ["lang", "ctx"]).select("lang", "gram", ((n - off) / F.col("total")).alias("num"))
         model.append({"grams": written(grams, f"shares{k}"), "contexts": contexts.select("lang", "ctx", "gamma")})
@@ -145,7 +149,7 @@ def probabilities(wanted: DataFrame, model: list[dict[str, DataFrame]]) -> DataF
     for k, asked in enumerate(need[::-1], 1):
         tables = model[k - 1]
         if k == 1:
-            base = asked.join(vocabulary, "lang").withColumn("rest", 1 / (F.col("v") + 1)).withColumn("ctx", F.lit(""))
+            base = asked.join(F.broadcast(vocabulary), "lang").withColumn("rest", 1 / (F.col("v") + 1)).withColumn("ctx", F.lit(""))
         else:
             suffix = asked.select("lang", "gram", F.substring("gram", 2, k - 1).alias("low"), F.substring("gram", 1, k - 1).alias("ctx"))
             base = suffix.join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("rest")), ["lang", "low"])
@@ -248,25 +252,27 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     return scored.select("doc_id", "lang", F.col("n").alias("n_chars"), "perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.4, spread: float = 3.0, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, spread: float = 3.0, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, threshold, kept), one row for every row of ``docs``.
 
-    Trusted are documents labelled quality 1 and not toxic. A document is kept unless its perplexity exceeds its threshold:
-    ``margin`` times the ``quantile`` of its language's trusted documents, and for the error of a mean over few characters
-    times exp(``spread`` / sqrt(n_chars)). Null languages form one language, ``und``. Without any text a
-    document isn't kept; where its language has no trusted text there is no threshold and it is. Rows that repeat are scored
-    each; an empty table gives an empty result; other columns are ignored.
+    Trusted are documents labelled quality 1 and not toxic. Those whose crc32(doc_id) mod 5 is not 0 train the model, the others
+    give the thresholds (where a language has none of these, its training documents do). A document is kept unless its
+    perplexity exceeds its threshold: ``margin`` times the ``quantile`` of its language, where every perplexity counts relative
+    to exp(``spread`` / sqrt(n_chars)), the error of a mean over few characters. Null languages form one language, ``und``.
+    Without any text a document isn't kept; where its language has no trusted text there is no threshold and it is. Rows that
+    repeat are scored each; long texts as a whole; an empty table gives an empty result; other columns, whatever their names,
+    are ignored.
     """
     row = F.xxhash64("text")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string")).withColumn("row", row)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     good = written(good, "trusted")
-    if good.count() <= BROADCAST_IDS:  # 8 bytes each; beyond, a shuffled join
-        good = F.broadcast(good)
-    scored = written(perplexities(docs, docs.join(good, "doc_id", "left_semi"), order), "perplexity")
-    trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    limits = trusted.groupBy("lang").agg((F.expr(f"percentile_approx(perplexity, {quantile}, 10000)") * margin).alias("threshold"))
+    training = docs.join(good.where(is_training(F.col("doc_id"))), "doc_id", "left_semi")
+    scored = written(perplexities(docs, training, order), "perplexity")
     allowance = F.exp(F.lit(spread) / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))))
-    out = scored.join(limits, "lang", "left").withColumn("threshold", F.col("threshold") * allowance)
+    trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select("lang", is_training(F.col("doc_id")).alias("seen"), (F.col("perplexity") / allowance).alias("p"))
+    at = lambda x: F.percentile_approx(x, quantile, 10000)
+    limits = trusted.groupBy("lang").agg((F.coalesce(at(F.when(~F.col("seen"), F.col("p"))), at(F.col("p"))) * margin).alias("threshold"))
+    out = scored.join(F.broadcast(limits), "lang", "left").withColumn("threshold", F.col("threshold") * allowance)  # a row a language
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), (F.col("n_chars") > 0) & F.col("threshold").isNull())
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -71,10 +71,14 @@ def op1_temperature_mix(spark, sf_dir):
 
 
 ORACLES["op1_temperature_mix"] = """
-    WITH RECURSIVE d AS (
+    WITH RECURSIVE d0 AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
-               CAST(CAST('0x' || substr(md5('42/' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 64 AS INTEGER) AS block
+               CAST('0x' || substr(md5('42/' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
         FROM documents),
+    z AS (
+        SELECT CAST(64 * 2 ** greatest(0, ceil(log2(max(n) / 67108864.0) / 2)) AS BIGINT) AS n_blocks
+        FROM (SELECT sum(n_tokens) AS n FROM d0 GROUP BY source)),
+    d AS (SELECT doc_id, source, n_tokens, CAST(h % n_blocks AS INTEGER) AS block FROM d0, z),
     b AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY ALL),
     s AS (SELECT source, sum(n) AS tokens, sum(n) / (SELECT CAST(sum(n) AS DOUBLE) FROM b) AS p FROM b GROUP BY source),
     l AS (SELECT list(p) AS ps, CAST(count(*) AS DOUBLE) AS k FROM s),

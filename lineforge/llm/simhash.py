@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, raw_texts, written
+from .common import arrow_map, one_row_each, raw_texts, without, written
 from .components import connected_components
 
 BITS, HALF = 64, 32
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, words_in: int = 3, node_rows: int = 2048) -
 
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id reachable over links. Texts without
     words (null, empty) have fingerprint zero, linked like any other. Rows that repeat a doc_id give a row each. An empty
-    table gives an empty result; rows without doc_id cannot be in a component and have a null component_id. Other columns
-    are ignored.
+    table gives an empty result; rows without doc_id cannot be in a component and have a null component_id. Other columns,
+    whatever their names, are ignored. Long texts are read once and never moved.
     """
     fps = written(fingerprints(docs, words_in), "fingerprints")
     ties = fps.where("doc_id is not null")
@@ -260,6 +260,9 @@ def near_duplicates(docs: DataFrame, words_in: int = 3, node_rows: int = 2048) -
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; columns unchanged. doc_id must be unique."""
-    kept = near_duplicates(docs, **how).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").select(docs.columns)
+    """One document of each component stays, that with the smallest doc_id; columns, whatever their names, unchanged.
+
+    Rows that repeat a doc_id are one document: the least of its rows by all columns stays. Rows without doc_id stay.
+    """
+    gone = near_duplicates(docs, **how).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return one_row_each(without(docs, gone), "doc_id")

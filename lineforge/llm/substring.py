@@ -6,7 +6,7 @@ the windows around anchors are then looked up by a 96-bit hash, and consecutive
 
 Both look-ups are packed joins: a task hashes a batch of texts and sends each shard of the hash space one compact row; a shard
 answers with positions. A batch sends each distinct hash once, so a passage that many documents hold is one entry a batch, and
-a shard's size follows the number of shards (the session's shuffle partitions).
+the number of shards follows the bytes of text, so that a shard's size doesn't. A shard is a task of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, raw_texts, release, slices, written
+from .common import raw_texts, shard_names, slices, written
 
 MULT = 0x9E3779B97F4A7C15
 MULT2 = 0xD6E8FEB86659FD93
@@ -115,16 +115,18 @@ def _places(raw: bytes, n: int) -> np.ndarray:
 
 
 def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    shard = (h >> np.uint64(33)) % np.uint64(shards)
+    shard = ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        yield s, order[cut[s] : cut[s + 1]]
+    first, counts = _runs_of(shard[order])
+    for s, a, n in zip(shard[order][first].tolist(), first.tolist(), counts.tolist(), strict=True):
+        yield s, order[a : a + n]
 
 
-def anchors(docs: DataFrame, block: int, batch_bytes: int, shards: int) -> DataFrame:
+def anchors(docs: DataFrame, block: int, batch_bytes: int, names: list[int]) -> DataFrame:
     """(doc_id, at): packed places of runs that equal a reference block elsewhere, or are one that a run elsewhere equals."""
 
+    shards = len(names)
+
     def probe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _batches(stream, batch_bytes):
             b = Batch(batch.column("doc_id").to_numpy(zero_copy_only=False), texts)
@@ -136,14 +138,14 @@ def anchors(docs: DataFrame, block: int, batch_bytes: int, shards: int) -> DataF
             marks = np.zeros(len(count), bool)
             marks[inverse[reference]] = True
             name = xxhash.xxh64_intdigest(b.ids.tobytes() + b.starts.tobytes()) - (1 << 63)
-            rows = [(name % shards, name, HEADER, b.ids.astype("<i8").tobytes(), b.starts.astype("<i8").tobytes(), None)]
+            rows = [(names[name % shards], name, HEADER, b.ids.astype("<i8").tobytes(), b.starts.astype("<i8").tobytes(), None)]
             again = at[(count > 1)[inverse]]  # repeated in the batch: an anchor whatever the others say
             if len(again):
-                rows.append((name % shards, name, SETTLED, again.astype("<u4").tobytes(), None, None))
+                rows.append((names[name % shards], name, SETTLED, again.astype("<u4").tobytes(), None, None))
             first.sort()
             h, at, flag = h[first], at[first], marks[inverse[first]]
             for s, o in _by_shard(h, shards):
-                rows.append((s, name, ENTRIES, h[o].astype("<u4").tobytes(), _gaps(at[o]), np.packbits(flag[o]).tobytes()))
+                rows.append((names[s], name, ENTRIES, h[o].astype("<u4").tobytes(), _gaps(at[o]), np.packbits(flag[o]).tobytes()))
             yield _rows(rows)
 
     def match(group: pa.Table) -> pa.Table:
@@ -185,7 +187,7 @@ def anchors(docs: DataFrame, block: int, batch_bytes: int, shards: int) -> DataF
         return pa.Table.from_batches([_positions(ids, owner, place - starts[owner])])
 
     sent = docs.mapInArrow(probe, SENT)
-    answers = sent.groupBy("shard").applyInArrow(match, SENT)
+    answers = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(match, SENT)
     return answers.groupBy("batch").applyInArrow(resolve, "doc_id long, at binary")
 
 
@@ -208,21 +210,21 @@ def _runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _settled(ids: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
     """Repeated windows, a row for each bucket of documents, whatever the number of documents."""
-    bucket = ((ids.astype(np.uint64) * np.uint64(MULT)) >> np.uint64(33)) % np.uint64(buckets)
+    bucket = (((ids.astype(np.uint64) * np.uint64(MULT)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((pos, ids, bucket))
     bucket, ids, pos = bucket[order], ids[order], pos[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = []
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        s = slice(edges[k], edges[k + 1])
+    for k, at, n in zip(*(lambda x: (bucket[x[0]].tolist(), x[0].tolist(), x[1].tolist()))(_runs_of(bucket)), strict=True):
+        s = slice(at, at + n)
         first, counts = _runs_of(ids[s])
         rows.append((None, k, ids[s][first].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[s].astype("<u4").tobytes(), None, None))
     return rows
 
 
-def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int, batch_bytes: int, shards: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int, batch_bytes: int, names: list[int]) -> DataFrame:
     """(doc_id, at): packed starts of the windows around anchors whose words also start earlier."""
     lists = hits.groupBy("doc_id").agg(F.collect_list("at").alias("hits"))
+    shards = len(names)
 
     def probe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _batches(stream, batch_bytes):
@@ -250,13 +252,13 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int,
             later = order[(order != lead) & ((b.ids[owner[order]] != b.ids[owner[lead]]) | (pos[order] != pos[lead]))]
             rows = []
             if len(later):
-                s = int(xxhash.xxh64_intdigest(b.ids.tobytes()) % shards)
+                s = names[xxhash.xxh64_intdigest(b.ids.tobytes()) % shards]
                 rows += [(s, *r[1:]) for r in _settled(b.ids[owner[later]], pos[later], shards)]
             first = np.sort(order[new])
             h, low, owner, pos = h[first], low[first], owner[first], pos[first]
             for s, o in _by_shard(h, shards):
                 cut, counts = _runs_of(owner[o])
-                rows.append((s, None, b.ids[owner[o][cut]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[o].astype("<u4").tobytes(), h[o].astype("<u8").tobytes(), low[o].astype("<u4").tobytes()))
+                rows.append((names[s], None, b.ids[owner[o][cut]].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), pos[o].astype("<u4").tobytes(), h[o].astype("<u8").tobytes(), low[o].astype("<u4").tobytes()))
             yield _windows(rows)
 
     def match(group: pa.Table) -> pa.Table:
@@ -281,7 +283,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int,
         return pa.Table.from_batches([_positions(docs_, local, read("pos", "<u4"))])
 
     near = docs.join(lists, "doc_id")
-    answers = near.mapInArrow(probe, WINDOWS).groupBy("shard").applyInArrow(match, WINDOWS)
+    answers = near.mapInArrow(probe, WINDOWS).repartition(shards, "shard").groupBy("shard").applyInArrow(match, WINDOWS)
     return answers.groupBy("bucket").applyInArrow(gather, "doc_id long, at binary")
 
 
@@ -320,22 +322,21 @@ def remove_repeats(docs: DataFrame, starts: DataFrame, window: int, text_out: bo
     return docs.join(lists, "doc_id", "left").mapInArrow(cut, schema)
 
 
-def dedup_passages(docs: DataFrame, window: int = 20, block: int = 10, batch_bytes: int = 4 << 20, text_out: bool = False) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = 20, block: int = 10, batch_bytes: int = 4 << 20, shard_bytes: int = 16 << 20, text_out: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, text]), one row for every row of ``docs``.
 
     A word goes where a window of ``window`` words that covers it has the same words as one that starts earlier: in a smaller
     doc_id, or before it in the same document. Windows are judged on the input. Null texts have no words. Rows without doc_id
     keep all words and are no reference. Rows that repeat a doc_id are taken for one document: a window is not earlier than
-    the one at its own doc_id and start. An empty table gives an empty result; other columns are ignored.
+    the one at its own doc_id and start. Equal windows are those with equal 96-bit hashes of their words. An empty table gives
+    an empty result; other columns, whatever their names, are ignored; texts of any length are taken as a whole.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole reference block")
-    spark = docs.sparkSession
-    shards = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = docs.where("doc_id is not null")
-    hits = written(anchors(named, block, batch_bytes, shards), "anchors")
-    release(spark)
-    starts = written(repeated_windows(named, hits, block, window, batch_bytes, shards), "repeats")
-    release(spark)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    names = shard_names(docs.sparkSession, max(1, -(-size // shard_bytes)))
+    hits = written(anchors(named, block, batch_bytes, names), "anchors")
+    starts = written(repeated_windows(named, hits, block, window, batch_bytes, names), "repeats")
     return remove_repeats(docs, starts, window, text_out)

@@ -200,14 +200,6 @@ def test_language(docs, rows, empty):
     assert kept.columns == docs.columns and 402 not in {r.doc_id for r in kept.collect()}
 
 
-def test_language_features_do_not_depend_on_pieces(monkeypatch):
-    text = "Größe und Maß — 1234 words, in pieces. " * 50
-    whole = langid.features(text)
-    monkeypatch.setattr(langid, "PIECE", 64)
-    parts = langid.features(text)
-    assert abs(int(whole[1].sum()) - int(parts[1].sum())) <= 0.05 * whole[1].sum()
-
-
 P = pytest.importorskip("public_tokenizers")
 
 
