@@ -38,15 +38,22 @@ def run_lengths(seq: Column) -> Column:
     return F.transform(runs(seq), F.length)
 
 
-def running_sum(values: Column) -> Column:
-    """array<bigint>: prefix sums."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("last"))
+def running_sum(values: Column, chunk: int = 64) -> Column:
+    """array<bigint>: prefix sums. Sums grow chunk by chunk, so that an array is not copied at each of its elements."""
+    none = F.array().cast("array<bigint>")
 
-    def step(acc, x):
+    def one(acc, x):
         total = acc["last"] + x
         return F.struct(F.concat(acc["out"], F.array(total)).alias("out"), total.alias("last"))
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    def part(acc, k):
+        start = F.struct(none.alias("out"), acc["last"].alias("last"))
+        own = F.aggregate(F.slice(values, k * chunk + 1, chunk), start, one)
+        return F.transform(F.array(own), lambda o: F.struct(F.concat(acc["parts"], F.array(o["out"])).alias("parts"), o["last"].alias("last")))[0]
+
+    start = F.struct(F.array().cast("array<array<bigint>>").alias("parts"), F.lit(0).cast("bigint").alias("last"))
+    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / chunk).cast("int"))
+    return F.when(values.isNull(), F.lit(None).cast("array<bigint>")).otherwise(F.aggregate(chunks, start, part, lambda acc: F.flatten(acc["parts"])))
 
 
 def run_ends(seq: Column) -> Column:
@@ -74,25 +81,16 @@ def base_count(seq: Column, base: str) -> Column:
 
 
 def non_acgt_runs(seq: Column) -> Column:
-    """array<struct<pos, base, n>> of runs of one character other than a, c, g, t."""
-    parts = F.regexp_extract_all(seq, F.lit(r"([acgtACGT]+|([^acgtACGT])\2*)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos: int, base: string, n: int>>").alias("out"))
-
-    def step(acc, part):
-        n = F.length(part)
-        run = F.struct(acc["at"].alias("pos"), F.substring(part, 1, 1).alias("base"), n.alias("n"))
-        out = F.when(part.rlike("^[acgtACGT]"), acc["out"]).otherwise(F.concat(acc["out"], F.array(run)))
-        return F.struct((acc["at"] + n).alias("at"), out.alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    """array<struct<pos, base, n>> of runs of one character other than a, c, g, t: places are running sums of gaps and runs."""
+    pattern = r"([^acgtACGT])\1*"
+    both = F.struct(F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)).alias("r"), F.split(seq, pattern, -1).alias("g"))
 
+    def places(b):
+        steps = F.transform(b["r"], lambda r, i: (F.length(F.get(b["g"], i)) + F.when(i > 0, F.length(F.get(b["r"], i - 1))).otherwise(0)).cast("bigint"))
+        run = lambda at: F.transform(b["r"], lambda r, i: F.struct(F.get(at, i).cast("int").alias("pos"), F.substring(r, 1, 1).alias("base"), F.length(r).alias("n")))
+        return F.transform(F.array(running_sum(steps)), run)[0]
 
-def restore_runs(seq: Column, found: Column) -> Column:
-    """Overlay (pos, base, n) runs on a sequence, as when ambiguous characters were stored apart."""
-    def step(acc, r):
-        return F.concat(F.substring(acc, F.lit(1), r["pos"]), F.repeat(r["base"], r["n"]), F.substring(acc, r["pos"] + r["n"] + 1, F.length(acc)))
-
-    return F.aggregate(found, seq, step)
+    return F.transform(F.array(both), places)[0]
 
 
 def fragment(seq: Column, start: Column, end: Column) -> Column:
@@ -107,7 +105,7 @@ def fragment_label(key: Column, start: Column, end: Column, rc: Column) -> Colum
 
 def pack2bit(seq: Column) -> Column:
     """Hex of the little-endian 2-bit packing, four bases a byte; others than c, g, t pack as a."""
-    codes = F.translate(F.translate(seq, "cgtCGT", "123123"), "aAnN", "0000")
+    codes = F.regexp_replace(F.translate(seq, "cgtCGT", "123123"), "[^123]", "0")
     padded = F.concat(codes, F.repeat(F.lit("0"), F.pmod(-F.length(codes), F.lit(4))))
     fours = F.regexp_extract_all(padded, F.lit("[0-3]{4}"), F.lit(0))
     return F.array_join(F.transform(fours, lambda x: F.lpad(F.conv(F.reverse(x), 4, 16), 2, "0")), "")
@@ -120,6 +118,25 @@ def unpack2bit(packed_hex: Column, length: Column) -> Column:
     return F.substring(F.translate(text, "0123", "acgt"), F.lit(1), length)
 
 
+def packed_reverse_complement(packed_hex: Column, length: Column) -> Column:
+    """The packing of the reverse complement of ``length`` packed bases."""
+    return pack2bit(reverse_complement(unpack2bit(packed_hex, length)))
+
+
+def unpack_at(packed_hex: Column, start: Column, length: Column, reverse: bool = False) -> Column:
+    """``length`` bases from base ``start`` (0-based) of packed DNA; only the bytes that hold them are unpacked."""
+    byte = F.floor(start / 4).cast("int")
+    n = F.floor((start + length + 3) / 4).cast("int") - byte
+    inside = F.substring(packed_hex, byte * 2 + 1, n * 2)
+    out = F.substring(unpack2bit(inside, n * 4), (start - byte * 4 + 1).cast("int"), length.cast("int"))
+    return reverse_complement(out) if reverse else out
+
+
+def packed_match(a_hex: Column, a_start: Column, b_hex: Column, b_start: Column, length: Column) -> Column:
+    """0 where ``length`` bases from two places of packed DNA are equal, else the 1-based place of the first difference."""
+    return match_position(unpack_at(a_hex, a_start, length), unpack_at(b_hex, b_start, length))
+
+
 def match_position(a: Column, b: Column) -> Column:
     """0 where equal, else the 1-based place of the first difference."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -182,6 +199,39 @@ def delta_width(values: Column) -> Column:
     return width
 
 
+# fixed values: the 4-bit code of each IUPAC letter, with a bit for each base it stands for
+IUPAC_BITS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12, "V": 7, "H": 11, "D": 13, "B": 14, "N": 15}
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def to_bits(seq: Column) -> Column:
+    """4-bit codes: a bit for each base that a letter stands for; 0 for other characters."""
+    code = F.create_map(*[F.lit(x) for k, v in IUPAC_BITS.items() for x in (k, v)])
+    return F.transform(F.split(F.upper(seq), ""), lambda c: F.coalesce(F.try_element_at(code, c), F.lit(0)))
+
+
+def amino_index(seq: Column) -> Column:
+    """Places of amino acids in the alphabet of twenty, -1 for others."""
+    return F.transform(F.split(F.upper(seq), ""), lambda c: F.instr(F.lit(AMINO), c) - 1)
+
+
+def lower_bound(values: Column, x: Column) -> Column:
+    """Place from 0 of the first element of a sorted array that is not under ``x``; the array's size where there is none."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(values, mid) < x
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda s: s["lo"])
+
+
+def insert_sorted(values: Column, x: Column) -> Column:
+    """A sorted array with ``x``, once."""
+    return F.array_sort(F.array_union(values, F.array(x)))
+
+
 def group_prefix(name: Column, char: str, k: int) -> Column:
     """A name up to the k-th occurrence of a character; the whole name where it has fewer."""
     return F.substring_index(name, char, k)

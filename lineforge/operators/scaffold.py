@@ -16,18 +16,20 @@ def scaffold_break(seqs: DataFrame, key: str, seq: Column, threshold: int = 20)
     parts = F.regexp_extract_all(seq, F.lit(r"([acgtACGT]+(?:[^acgtACGT]{1,%d}(?=[acgtACGT])[acgtACGT]+)*)" % (threshold - 1) if threshold > 1 else r"([acgtACGT]+)"), F.lit(1))
     gaps = F.split(seq, r"[acgtACGT]+(?:[^acgtACGT]{1,%d}(?=[acgtACGT])[acgtACGT]+)*" % (threshold - 1) if threshold > 1 else r"[acgtACGT]+", -1)
     rows = seqs.select(key, parts.alias("parts"), gaps.alias("gaps"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("gaps", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x))
-    out = rows.select(key, "parts", "gaps", F.posexplode("parts").alias("k", "contig_seq"))
-    return out.select(key, (F.col("k") + 1).alias("contig"), F.concat_ws(".", F.col(key).cast("string"), (F.col("k") + 1).cast("string")).alias("id"), before.alias("pos"), F.col("contig_seq").alias("seq"))
+    steps = F.transform("gaps", lambda g, i: (F.length(g) + F.when(i > 0, F.length(F.get(F.col("parts"), i - 1))).otherwise(0)).cast("bigint"))
+    placed = rows.select(key, F.posexplode(F.arrays_zip("parts", S.running_sum(steps).alias("at"))).alias("k", "c")).where("c.parts is not null")
+    return placed.select(key, (F.col("k") + 1).alias("contig"), F.concat_ws(".", F.col(key).cast("string"), (F.col("k") + 1).cast("string")).alias("id"), F.col("c.at").cast("int").alias("pos"), F.col("c.parts").alias("seq"))
 
 
 def scaffold_join(contigs: DataFrame, key: str, lengths: DataFrame, gap: str = "n") -> DataFrame:
     """(key, seq): contigs at their places, every gap as ``gap`` letters. ``lengths``: (key, length)."""
     one = contigs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("parts"))
     both = lengths.join(one, key, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<pos: int, seq: string>>")))
-    fill = lambda text, upto: F.concat(text, F.repeat(F.lit(gap), (upto - F.length(text)).cast("int")))
-    text = F.aggregate("parts", F.lit(""), lambda acc, p: F.concat(fill(acc, p["pos"]), p["seq"]))
-    return both.select(key, fill(text, F.col("length")).alias("seq"))
+    end = lambda p: F.coalesce(p["pos"] + F.length(p["seq"]), F.lit(0))
+    gaps = lambda n: F.repeat(F.lit(gap), n.cast("int"))
+    pieces = F.transform("parts", lambda p, i: F.concat(gaps(p["pos"] - F.when(i > 0, end(F.get(F.col("parts"), i - 1))).otherwise(0)), p["seq"]))
+    last = F.col("length") - F.coalesce(end(F.try_element_at("parts", F.lit(-1))), F.lit(0))
+    return both.select(key, F.concat(F.array_join(pieces, ""), gaps(last)).alias("seq"))
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,11 @@ def parse_fragment(text: str) -> Fragment:
     return Fragment(m["key"].replace("\\:", ":"), start, end, m["rc"] == "R")
 
 
+def by_ordinal(fragments: DataFrame) -> DataFrame:
+    """Requests whose key is a record's ordinal, in the order of ordinals and places."""
+    return fragments.withColumn("key", F.col("key").cast("long")).orderBy("key", "start", "end")
+
+
 def extract(seqs: DataFrame, fragments: DataFrame, on: str, label: Column, seq: Column) -> DataFrame:
     """(on, label, seq) of (key, start, end, rc) requests; reverse-complemented ones have coordinates of the reverse strand.
 

@@ -1,4 +1,4 @@
-"""Seeded generators: distributions and a shotgun read simulator."""
+"""Seeded generators: distributions, the 48-bit generator, mutations, and a shotgun read simulator."""
 
 from __future__ import annotations
 
@@ -38,6 +38,117 @@ def poisson(seed: int, mean: float) -> Column:
     return F.aggregate(waits, start, lambda a, w: F.struct((a["t"] + w).alias("t"), F.when(a["t"] + w <= mean, a["n"] + 1).otherwise(a["n"]).alias("n")), lambda a: a["n"])
 
 
+def binomial(seed: int, n: int, p: float) -> Column:
+    """Heads in ``n`` throws of a coin."""
+    return F.aggregate(F.array(*[coin(seed + k, p).cast("int") for k in range(n)]), F.lit(0), lambda a, x: a + x)
+
+
+def weighted(seed: int, weights: list[float]) -> Column:
+    """A place in ``weights``, as often as its weight asks for."""
+    ends = np.cumsum(weights) / sum(weights)
+    reached = lambda u: F.aggregate(F.array(*[F.lit(float(e)) for e in ends[:-1]]).cast("array<double>"), F.lit(0), lambda a, e: a + (u >= e).cast("int"))
+    return F.transform(F.array(F.rand(seed)), reached)[0]
+
+
+# fixed values: multiplier and increment of the 48-bit linear congruential generator, and the low bits of a seed
+MULTIPLIER, INCREMENT, SEED_LOW = 0x5DEECE66D, 0xB, 0x330E
+_M48 = (1 << 48) - 1
+
+
+class Random48:
+    """The 48-bit generator: ``linked`` ones share their state, and ``jump`` goes ahead any number of draws at once."""
+
+    def __init__(self, seed: int):
+        self._state = [(seed & 0xFFFFFFFF) << 16 | SEED_LOW]
+
+    def next(self) -> float:
+        self._state[0] = (self._state[0] * MULTIPLIER + INCREMENT) & _M48
+        return self._state[0] / (1 << 48)
+
+    def linked(self) -> Random48:
+        """Another handle of the same stream."""
+        out = Random48(0)
+        out._state = self._state
+        return out
+
+    def unlinked(self) -> Random48:
+        """A stream of its own from the present state on."""
+        out = Random48(0)
+        out._state = list(self._state)
+        return out
+
+    def jump(self, n: int) -> None:
+        a, c, mul, add = 1, 0, MULTIPLIER, INCREMENT
+        while n:
+            if n & 1:
+                a, c = a * mul & _M48, (c * mul + add) & _M48
+            mul, add, n = mul * mul & _M48, (add * mul + add) & _M48, n >> 1
+        self._state[0] = (self._state[0] * a + c) & _M48
+
+
+def with_random48(df: DataFrame, ordinal: str, seed: int, name: str = "u") -> DataFrame:
+    """Add the draw of each row's ordinal (from 1): tasks jump to their place, so rows get the same numbers in any partitioning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, at = Random48(seed), 0
+        for b in batches:
+            out = []
+            for k in b.column(ordinal).to_pylist():
+                if k <= at:
+                    g, at = Random48(seed), 0
+                g.jump(k - at - 1)
+                out.append(g.next())
+                at = k
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` double"]))
+
+
+def _each(df: DataFrame, key: str, seq: str, seed: int, change) -> DataFrame:
+    """Replace every sequence by ``change(rng, bytes)``, with draws that depend on the seed and the key alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        for b in batches:
+            out = []
+            for name, text in zip(b.column(key).to_pylist(), b.column(seq).to_pylist(), strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+                out.append(None if text is None else change(rng, text.encode("latin-1")).decode("latin-1"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == seq else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+
+
+_BASES = np.frombuffer(b"acgt", np.uint8)
+
+
+def mutate(df: DataFrame, key: str, seq: str, rate: float, seed: int = 1) -> DataFrame:
+    """Substitute bases at ``rate``, each by one of the three others."""
+
+    def change(rng, data: bytes) -> bytes:
+        x = np.frombuffer(data.lower(), np.uint8).copy()
+        hit = np.flatnonzero(rng.random(len(x)) < rate)
+        code = np.searchsorted(_BASES, x[hit])
+        known = (code < 4) & (_BASES[np.minimum(code, 3)] == x[hit])
+        x[hit[known]] = _BASES[(code[known] + rng.integers(1, 4, int(known.sum()))) % 4]
+        return x.tobytes()
+
+    return _each(df, key, seq, seed, change)
+
+
+def fill_gaps(df: DataFrame, key: str, seq: str, seed: int = 1) -> DataFrame:
+    """Replace everything other than a, c, g, t by random bases, as for the scaffolds that reads are drawn from."""
+
+    def change(rng, data: bytes) -> bytes:
+        x = np.frombuffer(data.lower(), np.uint8).copy()
+        gap = ~np.isin(x, _BASES)
+        x[gap] = _BASES[rng.integers(0, 4, int(gap.sum()))]
+        return x.tobytes()
+
+    return _each(df, key, seq, seed, change)
+
+
 READS = "src string, read bigint, beg bigint, end bigint, rc boolean, seq string"
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineforge.functions import sequence as S
-from lineforge.operators import barcode, filterexpr, joins, ordinals, scaffold, stats
-from lineforge.session import table
+from lineforge.operators import barcode, filterexpr, joins, ordinals, scaffold, simulate, stats
+from lineforge.session import scratch, table
+from lineforge.sources import records, sequences, text_format
+from lineforge.sources.schema import RecordSchema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,20 +218,21 @@ def hoco(spark, sf_dir):
 
 
 @query(f"""
-    WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents),
-    r AS (SELECT doc_id, list_transform(regexp_extract_all(s, '(a+|c+|g+|t+|n+)'), lambda x: length(x)) AS n, length(s) AS total FROM d)
-    SELECT doc_id, CAST(len(n) AS BIGINT) AS n_runs, CAST(coalesce(list_sum(n), 0) AS BIGINT) AS last_end, coalesce(CAST(list_max(n) AS BIGINT), 0) AS longest FROM r""")
+    WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents), r AS (SELECT doc_id, regexp_extract_all(s, '(a+|c+|g+|t+|n+)') AS runs FROM d),
+    e AS (SELECT doc_id, unnest(runs) AS run, unnest(range(1, len(runs) + 1)) AS i FROM r),
+    p AS (SELECT doc_id, i, length(run) AS n, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM e),
+    x AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest, string_agg(CAST(stop AS VARCHAR), ',' ORDER BY i) AS ends FROM p GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, coalesce(longest, 0) AS longest, coalesce(ends, '') AS ends FROM d LEFT JOIN x USING (doc_id)""")
 def hoco_runs(spark, sf_dir):
     d = _dna(spark, sf_dir).select("doc_id", S.run_lengths(F.col("s")).alias("n"))
-    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return d.select("doc_id", F.size("n").cast("bigint").alias("n_runs"), total.alias("last_end"), F.coalesce(F.array_max("n"), F.lit(0)).cast("bigint").alias("longest"))
+    ends = F.array_join(S.running_sum(F.col("n")).cast("array<string>"), ",")
+    return d.select("doc_id", F.size("n").cast("bigint").alias("n_runs"), F.coalesce(F.array_max("n"), F.lit(0)).cast("bigint").alias("longest"), ends.alias("ends"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query(f"SELECT doc_id, {_DNA} AS expanded FROM documents")
 def hoco_roundtrip(spark, sf_dir):
-    d = _dna(spark, sf_dir)
-    lengths = F.zip_with(F.split(S.homopolymer_compress(F.col("s")), ""), S.run_lengths(F.col("s")), lambda c, n: F.repeat(c, n))
-    return d.select("doc_id", (F.array_join(lengths, "") == F.col("s")).alias("same"))
+    d = _dna(spark, sf_dir).select("doc_id", S.homopolymer_compress(F.col("s")).alias("c"), S.run_ends(F.col("s")).alias("ends"))
+    return d.select("doc_id", S.homopolymer_expand(F.col("c"), F.col("ends")).alias("expanded"))
 
 
 @query(f"""
@@ -315,24 +318,38 @@ def nearest_code(spark, sf_dir):
 
 
 @query(f"""
-    WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents)
-    SELECT x.doc_id, CASE WHEN x.s = y.s THEN 0 ELSE 1 + len(list_filter(range(1, least(length(x.s), length(y.s)) + 1), lambda i: substr(x.s, 1, i) = substr(y.s, 1, i))) END AS mismatch
-    FROM (SELECT doc_id, substr(s, 1, 40) AS s FROM d) x JOIN (SELECT doc_id, substr(s, 1, 40) AS s FROM d) y ON y.doc_id = x.doc_id + 1""")
+    WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents),
+    p AS (SELECT x.doc_id, x.s AS a, y.s AS b FROM d x JOIN d y ON y.doc_id = x.doc_id + 1),
+    c AS (SELECT doc_id, unnest(range(1, greatest(length(a), length(b)) + 1)) AS i, unnest(string_split(rpad(a, CAST(greatest(length(a), length(b)) AS INTEGER), '-'), '')) AS x,
+                 unnest(string_split(rpad(b, CAST(greatest(length(a), length(b)) AS INTEGER), '-'), '')) AS y FROM p WHERE length(a) + length(b) > 0)
+    SELECT p.doc_id, coalesce(m, 0) AS mismatch FROM p LEFT JOIN (SELECT doc_id, min(i) AS m FROM c WHERE x <> y GROUP BY doc_id) USING (doc_id)""")
 def packed_match(spark, sf_dir):
-    d = _dna(spark, sf_dir).select("doc_id", F.substring("s", 1, 40).alias("s"))
+    d = _dna(spark, sf_dir)
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
     return d.join(other, "doc_id").select("doc_id", S.match_position(F.col("s"), F.col("t")).cast("bigint").alias("mismatch"))
 
 
+@query(f"SELECT doc_id, reverse(translate({_DNA}, 'acgtn', 'tgcat')) AS rc, substr(replace({_DNA}, 'n', 'a'), 6, 30) AS part FROM documents")
+def packed_revcomp(spark, sf_dir):
+    d = _dna(spark, sf_dir).select("doc_id", F.length("s").alias("n"), S.pack2bit(F.col("s")).alias("p"))
+    rc = S.unpack2bit(S.packed_reverse_complement(F.col("p"), F.col("n")), F.col("n"))
+    part = S.unpack_at(F.col("p"), F.lit(5), F.greatest(F.lit(0), F.least(F.lit(30), F.col("n") - 5)))
+    return d.select("doc_id", rc.alias("rc"), part.alias("part"))
+
+
 # ---- joins, pairing, grouping
 
 
-@query("SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_orderkey = c_custkey")
+@query("""
+    WITH f AS (SELECT row_number() OVER (ORDER BY p_partkey) AS ord, p_partkey, p_size FROM part),
+    r AS (SELECT row_number() OVER (ORDER BY p_partkey DESC) AS ord, p_partkey AS mate, p_brand FROM part)
+    SELECT ord, p_partkey, p_size, mate, p_brand FROM f JOIN r USING (ord)""")
 def pair_zip(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), "c_name")
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_custkey").join(c.select("ord"), "ord", "left_semi")
-    have = c.join(o.select("ord"), "ord", "left_semi")
-    return joins.zip_join(o, have).select(F.col("ord").alias("o_orderkey"), "o_custkey", "c_name")
+    """Two whole files of as many records by place, one read forwards and one backwards; different counts are an error."""
+    p = table(spark, sf_dir, "part")
+    forward = ordinals.with_running(p.select("p_partkey", "p_size"), "p_partkey", {"ord": F.lit(1)})
+    backward = p.select(F.col("p_partkey").alias("mate"), "p_brand", (-F.col("p_partkey")).alias("from_end"))
+    return joins.zip_join(forward, ordinals.with_running(backward, "from_end", {"ord": F.lit(1)}).drop("from_end"))
 
 
 @query("""
@@ -380,9 +397,13 @@ def concat_parts(spark, sf_dir):
     return one(0, "o_orderstatus = 'O'").unionByName(one(1, "o_orderstatus <> 'O'"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey) AS ord, p_partkey, p_size FROM part WHERE p_size >= 10 AND p_partkey % 3 = 0")
+@query("""
+    WITH best AS (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part)
+    SELECT row_number() OVER (ORDER BY p_partkey) AS ord, p_partkey, p_size FROM best WHERE r = 1 AND p_size >= 10""")
 def trim_renumber(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size >= 10 and p_partkey % 3 = 0").select("p_partkey", "p_size")
+    """The largest part of each brand, those of too small a size dropped, numbered anew."""
+    best = F.min(F.struct((-F.col("p_size")).alias("s"), "p_partkey")).alias("b")
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(best).select("b.p_partkey", (-F.col("b.s")).alias("p_size")).where("p_size >= 10")
     return ordinals.with_running(p, "p_partkey", {"ord": F.lit(1)}).select("ord", "p_partkey", "p_size")
 
 
@@ -433,3 +454,105 @@ def barcode_totals(spark, sf_dir):
 def barcode_clouds(spark, sf_dir):
     c = barcode.clouds(barcode.correct(_codes(spark, sf_dir), 3, 6), F.col("s"))
     return c.groupBy("cloud").agg(F.count("*").alias("n_reads"), F.sum(F.length("trimmed")).cast("bigint").alias("bases"), F.min("doc_id").alias("first"))
+
+
+# ---- files: written, read back, and compared with the table
+
+_SCHEMA = "P 3 doc\nO D 2 3 INT 6 STRING\nD L 1 8 INT_LIST\nD S 2 4 CHAR 4 REAL\n"
+
+
+def _record_lines(spark, sf_dir):
+    """Documents as lines: D with number and text, L with the lengths of its words, S with a letter and a number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint"))
+    none = {"ints": "array<bigint>", "reals": "array<double>", "chars": "array<string>", "list_len": "bigint", "str": "string", "int_list": "array<bigint>", "real_list": "array<double>", "str_list": "array<string>", "comment": "string"}
+    line = lambda kind, **f: F.struct(F.lit(kind).alias("line_type"), *[(f[k].cast(t) if k in f else F.array().cast(t) if k in ("ints", "reals", "chars") else F.lit(None).cast(t)).alias(k) for k, t in none.items()])
+    kinds = F.array(
+        line("D", ints=F.array("doc_id"), str=F.col("text"), list_len=F.octet_length("text"), comment=F.col("lang")),
+        line("L", int_list=sizes, list_len=F.size(sizes)),
+        line("S", chars=F.array(F.substring("lang", 1, 1)), reals=F.array(F.length("text") / 4)),
+    )
+    return d.select(F.lit("").alias("file"), "doc_id", F.posexplode(kinds).alias("k", "x")).select("file", (F.col("doc_id") * 3 + F.col("k")).alias("line_no"), "x.*")
+
+
+_SOURCE_SQL = """
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, lang AS comment, len(string_split(coalesce(text, ''), ' ')) AS n_words,
+           CAST(list_sum(list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w))) AS BIGINT) AS n_letters, lang[1] AS first, length(coalesce(text, '')) / 4.0::DOUBLE AS quarter
+    FROM documents"""
+
+
+def _read_back(f):
+    """One row a document from its three lines."""
+    of = lambda kind: F.get(F.filter("lines", lambda x: x["line_type"] == kind), 0)
+    o = f.objects("D").select(of("D").alias("d"), of("L").alias("l"), of("S").alias("s"))
+    total = F.aggregate("l.int_list", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return o.select(F.get("d.ints", 0).alias("doc_id"), F.col("d.list_len").alias("n_bytes"), F.sha2(F.col("d.str").cast("binary"), 256).alias("text_sha256"), "d.comment", F.size("l.int_list").cast("bigint").alias("n_words"), total.alias("n_letters"), F.get("s.chars", 0).alias("first"), F.get("s.reals", 0).alias("quarter"))
+
+
+def _documents_header():
+    return text_format.Header("doc", schema=RecordSchema.for_type(_SCHEMA, "doc")).add_provenance("lineforge", "1", "catalogue", "2024-01-01_00:00:00")
+
+
+@query(_SOURCE_SQL)
+def binary_roundtrip(spark, sf_dir):
+    """Documents written as binary record files by four tasks, found by their indexes, and read back."""
+    path = scratch(spark, "binary")
+    records.write_binary(_record_lines(spark, sf_dir), _documents_header(), path, parts=4)
+    return _read_back(records.read_records(spark, path))
+
+
+@query("""
+    SELECT line_type, count(*) AS n, CAST(max(l) AS BIGINT) AS max_len, CAST(sum(l) AS BIGINT) AS total_len FROM (
+        SELECT 'D' AS line_type, octet_length(encode(coalesce(text, ''))) AS l FROM documents UNION ALL SELECT 'L', len(string_split(coalesce(text, ''), ' ')) FROM documents UNION ALL SELECT 'S', 0 FROM documents)
+    GROUP BY line_type""")
+def footer_counts(spark, sf_dir):
+    """Counts of every line type from the footers of binary files alone, without reading their data."""
+    path = scratch(spark, "binary")
+    records.write_binary(_record_lines(spark, sf_dir), _documents_header(), path, parts=3)
+    counts = records.read_records(spark, path).header.counts
+    return spark.createDataFrame([(k, c.get("count", 0), c.get("max", 0), c.get("total", 0)) for k, c in counts.items()], "line_type string, n bigint, max_len bigint, total_len bigint")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) AS ord, CAST(doc_id AS VARCHAR) AS id, lang AS desc, {_DNA} AS seq FROM documents")
+def fasta_roundtrip(spark, sf_dir):
+    """Sequences written as FASTA in order, read back by splits, with the place of every record in the file."""
+    path = scratch(spark, "fasta")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("desc"), S.dna_projection(F.col("text")).alias("seq"))
+    sequences.write_fasta(d.repartition(1).sortWithinPartitions("doc_id"), path)
+    return sequences.read_fasta(spark, path).select("ord", "id", "desc", "seq")
+
+
+@query(f"SELECT doc_id, length({_HOCO.format(s=_DNA)}) AS stored, {_DNA} AS seq FROM documents")
+def hoco_record_file(spark, sf_dir):
+    """Sequences stored homopolymer-compressed with their run ends in a record file, and expanded when they are read."""
+    path = scratch(spark, "hoco")
+    d = _dna(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq"))
+    schema = RecordSchema.for_type("P 3 seq\nO S 1 3 DNA\nD I 1 6 STRING\nD N 3 3 INT 4 CHAR 3 INT\nD H 1 8 INT_LIST\n", "seq")
+    records.write_binary(sequences.sequence_lines(d, order="doc_id", homopolymers=True), text_format.Header("seq", schema=schema), path, parts=2)
+    f = records.read_records(spark, path)
+    stored = f.objects("S").select("file", "obj", F.aggregate(F.filter("lines", lambda x: x["line_type"] == "S"), F.lit(0).cast("bigint"), lambda a, x: a + x["list_len"]).alias("stored"))
+    return sequences.sequences_of(f).join(stored, ["file", "obj"]).select(F.col("id").cast("bigint").alias("doc_id"), "stored", "seq")
+
+
+@query("SELECT * FROM (VALUES (0, 'make', 'make a'), (1, 'join', 'join a b')) AS t(step, program, command)")
+def header_inherit(spark, sf_dir):
+    """Provenance of a file made from another one, written and read back."""
+    schema = RecordSchema.for_type(_SCHEMA, "doc")
+    first = text_format.Header("doc", schema=schema).add_provenance("make", "1", "make a", "2024-01-01_00:00:00")
+    second = text_format.Header("doc", schema=schema).add_provenance("join", "1", "join a b", "2024-01-02_00:00:00").inherit(first)
+    path = scratch(spark, "inherit")
+    records.write_binary(_record_lines(spark, sf_dir), second, path)
+    found = records.read_records(spark, path).header.provenance
+    return spark.createDataFrame([(k, p[0], p[2]) for k, p in enumerate(found)], "step int, program string, command string")
+
+
+@query()
+def simulate_reads(spark, sf_dir):
+    """Reads drawn from the documents' sequences, gaps filled; each is checked against the place it was drawn from."""
+    d = _dna(spark, sf_dir).where("length(s) >= 50").select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("seq"))
+    whole = simulate.fill_gaps(d, "id", "seq", seed=7)
+    reads = simulate.shotgun(whole, coverage=2.0, mean=60.0, seed=7)
+    source = F.expr("substring(seq, int(beg + 1), int(end - beg))")
+    drawn = F.when(F.col("rc"), S.reverse_complement(source)).otherwise(source)
+    both = reads.withColumnRenamed("seq", "read_seq").join(whole, F.col("src") == F.col("id"))
+    return both.groupBy("src").agg(F.count("*").alias("reads"), F.sum(F.length("read_seq")).alias("bases"), F.min((drawn == F.col("read_seq")).cast("int")).alias("exact"))

@@ -26,6 +26,9 @@ def same(value):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
+    if name not in ORACLES:  # generators: only what holds for any draw
+        assert got.count() > 0
+        return
     want = duck.sql(ORACLES[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
