@@ -31,7 +31,7 @@ from .common import small_batches
 BITS, PLACE = 17, 7  # of an id or rank, and of a place in a part
 NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
 EMPTY = (1 << 2 * BITS) - 1  # what a slot without a pair holds
-HELD_WORDS = 500_000  # after which a task numbers its words anew
+HELD_PARTS = 300_000  # after which a task numbers its parts anew
 STEPWISE = 100  # bytes of a part up to which one pair is merged a step
 
 
@@ -273,19 +273,23 @@ class _Numbers(dict):
 
 
 class Parts:
-    """A task's distinct words and parts of words, both numbered from 0."""
+    """A task's distinct parts of words, and the distinct words of its present block, both numbered from 0."""
 
     def __init__(self, ranks: RankMap):
         self.ranks = ranks
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.parts = _Numbers(), _Numbers()  # a part is its bytes, or a piece's id where that stands for a whole word
-        self.of, self.ends, self.sent = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+        self.parts, self.sent = _Numbers(), 0  # a part is its bytes, or a piece's id where that stands for a whole word
+        self.new_block()
+
+    def new_block(self) -> None:
+        self.words = _Numbers()
+        self.of, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def add_words(self) -> None:
-        """Number the parts of the words that came since the last call."""
-        new = [w.encode("utf-8", "surrogatepass") for w in itertools.islice(self.words, len(self.ends) - 1, None)]
+        """Number the parts of the block's words."""
+        new = [w.encode("utf-8", "surrogatepass") for w in self.words]
         if not new:
             return
         joined, ends = b"".join(new), np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
@@ -304,8 +308,8 @@ class Parts:
             for k in np.flatnonzero(counts == 1).tolist():
                 at = int(np.searchsorted(edges, starts[k]))
                 found[at] = self.ranks.whole.get(found[at], found[at])
-        self.of = np.concatenate([self.of, np.fromiter(map(self.parts.__getitem__, found), np.int32, len(found))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        self.of = np.fromiter(map(self.parts.__getitem__, found), np.int32, len(found))
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """Numbers of the parts of words given by number."""
@@ -360,8 +364,7 @@ def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> Data
                 if size >= block_bytes:
                     yield block()
                     ids, words, size = [], [], 0
-                    if len(seen.words) > HELD_WORDS:
-                        seen.clear()
+                    seen.new_block() if len(seen.parts) <= HELD_PARTS else seen.clear()
         if ids:
             yield block()
 
