@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinals import with_running
+from .ordinals import with_previous, with_running
 
 
 def zip_join(left: DataFrame, right: DataFrame, ordinal: str = "ord") -> DataFrame:
@@ -36,15 +36,14 @@ def interval_lookup(points: DataFrame, boundaries: DataFrame, order: str, start:
 
 def prefix_groups(records: DataFrame, name: Column, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``group_no``, which grows where the group key differs from that of the record before; compares whole keys."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    keyed = records.withColumn("group_key", name)
-    changed = keyed.withColumn("_new", (~F.lag("group_key").over(w).eqNullSafe(F.col("group_key"))).cast("int"))
-    return with_running(changed, order, {"group_no": F.col("_new")}, by=by).drop("_new")
+    keyed = with_previous(records.withColumn("group_key", F.coalesce(name, F.lit("\0"))), order, "group_key", "_before", by)
+    changed = keyed.withColumn("_new", (~F.col("_before").eqNullSafe(F.col("group_key"))).cast("int"))
+    out = with_running(changed, order, {"group_no": F.col("_new")}, by=by).drop("_new", "_before")
+    return out.withColumn("group_key", F.nullif(F.col("group_key"), F.lit("\0")))
 
 
 def adjacent_pairs(records: DataFrame, name: str, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``pair_no`` and ``mate`` (1 or 2): runs of the same name must be of two."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
     runs = prefix_groups(records, F.col(name), order, by)
     inside = Window.partitionBy(*by, "group_no")
     two = F.count("*").over(inside)
@@ -53,7 +52,10 @@ def adjacent_pairs(records: DataFrame, name: str, order: str, by: Sequence[str]
 
 
 def nearest_code(all_codes: DataFrame, used: DataFrame) -> DataFrame:
-    """(code, nearest): each code of a small alphabet with the nearest used one, the smaller of two equally near."""
-    u = used.agg(F.array_sort(F.collect_set("code")).alias("used"))
+    """(code, nearest): each code of a small alphabet with the nearest used one, the smaller of two equally near.
+
+    Codes are single bytes: what is broadcast is one row with the used ones, 256 at most.
+    """
+    u = used.agg(F.array_sort(F.collect_set(F.when(F.col("code").between(0, 255), F.col("code")))).alias("used"))
     best = F.aggregate("used", F.lit(None).cast("int"), lambda acc, x: F.when(acc.isNull() | (F.abs(x - F.col("code")) < F.abs(acc - F.col("code"))), x.cast("int")).otherwise(acc))
     return all_codes.join(F.broadcast(u)).select("code", best.alias("nearest"))
