@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 BITS, PLACE = 17, 7  # of an id or rank, and of a place in a part
 NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
@@ -368,7 +368,7 @@ def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> Data
         if ids:
             yield block()
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(tidy(run), BLOCK)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
@@ -422,4 +422,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 2
                     cols.append(pa.array(lists_out, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return coded.mapInArrow(digest, out)
+    return coded.mapInArrow(tidy(digest), out)

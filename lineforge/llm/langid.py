@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, numbered, renamed, written
+from .common import arrow_map, numbered, renamed, tidy, written
 
 DIMS = 8192
 PIECE = 1 << 20
@@ -98,7 +98,7 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
             cols = [pa.array([None] * DIMS + list(n), pa.string()), pa.array([*range(DIMS), *[-1] * len(n)], pa.int32()), pa.array([*df.tolist(), *n.values()], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "f", "n"])
 
-    sums = train.select("lang", "text").mapInArrow(run, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).collect()
+    sums = train.select("lang", "text").mapInArrow(tidy(run), "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMS, np.int64)
     for r in sums:
         if r.f >= 0:

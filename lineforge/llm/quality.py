@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, tidy, written
 from .langid import is_training
 
 ORDER = 4
@@ -99,7 +99,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER, limit: int = 2_000_000) ->
                     yield from [emit(k) for k in list(held)]
         yield from [emit(k) for k in list(held)]
 
-    return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def partial_scores(docs: DataFrame, slots, order: int, limit: int = 2_000_000) -
                 n[rows], found[rows], total[rows] = sizes, hits[ends] - hits[ends - sizes], sums[ends] - sums[ends - sizes]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("row"), pa.array(n), pa.array(found), pa.array(total)], ["doc_id", "lang", "row", "n", "found", "logp"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, row long, n long, found long, logp double")
+    return docs.mapInArrow(tidy(run), "doc_id long, lang string, row long, n long, found long, logp double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, shard_names, slices, written
+from .common import raw_texts, shard_names, slices, tidy, written
 
 MULT = 0x9E3779B97F4A7C15
 MULT2 = 0xD6E8FEB86659FD93
@@ -186,7 +186,7 @@ def anchors(docs: DataFrame, block: int, batch_bytes: int, names: list[int]) ->
         owner = np.searchsorted(starts, place, "right") - 1
         return pa.Table.from_batches([_positions(ids, owner, place - starts[owner])])
 
-    sent = docs.mapInArrow(probe, SENT)
+    sent = docs.mapInArrow(tidy(probe), SENT)
     answers = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(match, SENT)
     return answers.groupBy("batch").applyInArrow(resolve, "doc_id long, at binary")
 
@@ -283,7 +283,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, block: int, window: int,
         return pa.Table.from_batches([_positions(docs_, local, read("pos", "<u4"))])
 
     near = docs.join(lists, "doc_id")
-    answers = near.mapInArrow(probe, WINDOWS).repartition(shards, "shard").groupBy("shard").applyInArrow(match, WINDOWS)
+    answers = near.mapInArrow(tidy(probe), WINDOWS).repartition(shards, "shard").groupBy("shard").applyInArrow(match, WINDOWS)
     return answers.groupBy("bucket").applyInArrow(gather, "doc_id long, at binary")
 
 
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, starts: DataFrame, window: int, text_out: bo
                 cols.append(pa.array(out, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * text_out)
 
-    return docs.join(lists, "doc_id", "left").mapInArrow(cut, schema)
+    return docs.join(lists, "doc_id", "left").mapInArrow(tidy(cut), schema)
 
 
 def dedup_passages(docs: DataFrame, window: int = 20, block: int = 10, batch_bytes: int = 4 << 20, shard_bytes: int = 16 << 20, text_out: bool = False) -> DataFrame:
