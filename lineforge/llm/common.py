@@ -53,15 +53,6 @@ def written(df: DataFrame, tag: str = "t", codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    hconf = df.sparkSession._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(hconf).delete(path, True)
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named c0, c1, ..., so that no name clashes with an operator's own."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
