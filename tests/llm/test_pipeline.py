@@ -6,6 +6,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from lineforge.llm.common import small_batches
 
 from .test_operators import corpus, tokens  # noqa: F401
 from .test_similar import plain_kept
@@ -47,3 +48,21 @@ def test_stages_take_empty_tables(spark, name):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     out = dict(corpus_pipeline.STAGES)[name](spark, empty, "")
     assert out.columns == empty.columns and out.count() == 0
+
+
+def test_texts_are_read_and_sent_in_small_batches(spark):
+    """Else the reader's arrays drive an executor's heap to its limit, and the token stage's workers find no room beside it."""
+    rows, sent = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key, None) for key in (rows, sent)}
+    try:
+        for given, wanted in (("4096", "512"), ("100", "100")):
+            spark.conf.set(rows, given)
+            docs = spark.createDataFrame([(1, "ein Wort", None, None, 8)], "doc_id long, text string, lang string, source string, n_chars long")
+            corpus_pipeline.language(spark, docs, "")
+            assert spark.conf.get(rows) == wanted and int(spark.conf.get(sent)) <= 4 << 20
+        spark.conf.set(sent, "1000")
+        small_batches(spark)
+        assert spark.conf.get(sent) == "1000"
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
