@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, one_row_each, raw_texts, tidy, without, written
 from .components import connected_components
 
-SIGNATURE = 512  # bits that travel with a text's shingles
+SIGNATURES = (512, 1024, 2048)  # bits that travel with a text's shingles: the first that are as many as these, or the last
 _EPS = 1e-9
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -44,6 +44,13 @@ def shingles(text: bytes, words_in: int) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(33))).view(np.int64))
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted array ``known``; time goes with the values, hardly with what is known."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -80,7 +87,7 @@ def prefixes(docs: DataFrame, words_in: int, similarity: float, common: np.ndarr
             ids, tokens, sizes, lens = batch.column("doc_id").to_numpy(), [], [], []
             for text in raw_texts(batch.column("text")):
                 s = shingles(text, words_in)
-                last = np.isin(s, common)
+                last = among(s, common)
                 k = len(s) - int(np.ceil(similarity * len(s) - _EPS)) + 1
                 tokens.append(np.concatenate([s[~last], s[last]])[:k])
                 sizes.append(len(s))
@@ -120,16 +127,32 @@ def _may_link(na, nb, i, j, similarity, least=np.minimum):
     return (most >= similarity * (na + nb - most) - _EPS) & (1 + least(i, j) + least(na - 1 - i, nb - 1 - j) >= similarity / (1 + similarity) * (na + nb) - _EPS)
 
 
+def signature_bits(n: int) -> int:
+    return next((bits for bits in SIGNATURES if bits >= n), SIGNATURES[-1])
+
+
+def _signatures(sigs: list[bytes]) -> tuple[list[int], dict[int, np.ndarray]]:
+    """Bits of every signature, and for each number of bits an array of those that have as many, folded to it; others' rows are zero."""
+    width = [8 * len(x) for x in sigs]
+    folded = {bits: np.zeros((len(sigs), bits // 64), np.uint64) for bits in SIGNATURES}
+    for own in SIGNATURES:
+        rows = np.flatnonzero(np.array(width) == own)
+        found = np.frombuffer(b"".join(sigs[k] for k in rows), np.uint64)
+        for bits in SIGNATURES if len(rows) else ():
+            if bits <= own:
+                folded[bits][rows] = np.bitwise_xor.reduce(found.reshape(len(rows), own // bits, bits // 64), axis=1)
+    return width, folded
+
+
 def open_pairs(similarity: float):
     """Pairs (a, b) of texts that share a token of the bucket, may be similar and are not in one component yet."""
     share = (1 - similarity) / (1 + similarity)
 
     def f(group: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
         token, doc, n, pos, label = (group.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos", "label"))
         order = np.lexsort((n, token))
         token, doc, n, pos, label = (x[order].astype(np.int64) for x in (token, doc, n, pos, label))
-        sig = sig[order]
+        width, folded = _signatures(group.column("sig").take(pa.array(order)).to_pylist())
         found = [np.zeros((0, 2), np.int64)]
         for lo, size in zip(*_groups(token), strict=True):
             hi = lo + size
@@ -139,6 +162,7 @@ def open_pairs(similarity: float):
                 stop = lo + int(np.searchsorted(n[lo:hi], n[x] / similarity + _EPS, "right"))
                 y = np.arange(x + 1, stop)
                 y = y[(label[y] != label[x]) & _may_link(n[x], n[y], pos[x], pos[y], similarity)]
+                sig = folded[width[x]]  # no row of the token after x has less
                 y = y[np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= share * (n[x] + n[y]) + _EPS]
                 if len(y):
                     found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
@@ -151,7 +175,7 @@ def open_pairs(similarity: float):
 
 
 def bitmaps(docs: DataFrame, words_in: int) -> DataFrame:
-    """(doc_id, size, bits, sig): number of shingles, and bitmaps of the next power of two bits and of ``SIGNATURE`` bits, set where
+    """(doc_id, size, bits, sig): number of shingles, and bitmaps of the next power of two bits and of ``signature_bits``, set where
     an odd number of hashes fall."""
     parity = lambda s, width: np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -162,7 +186,7 @@ def bitmaps(docs: DataFrame, words_in: int) -> DataFrame:
                 s = shingles(text, words_in).view(np.uint64)
                 sizes.append(len(s))
                 bits.append(parity(s, max(64, 1 << (len(s) - 1).bit_length())))
-                sigs.append(parity(s, SIGNATURE))
+                sigs.append(parity(s, signature_bits(len(s))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "size", "bits", "sig"])
 
         return f

@@ -1,8 +1,11 @@
 """Near duplicates by shingle similarity against brute force, alone and as the pipeline's stage."""
 
 import random
+import time
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from lineforge.llm import similar
 
@@ -51,3 +54,32 @@ def test_common_shingles_do_not_change_the_result(spark, monkeypatch):
     assert len(similar.common_shingles(docs, 5)) > 0
     monkeypatch.setattr(similar, "common_shingles", lambda docs, words_in: similar.np.zeros(0, "int64"))
     assert {r.doc_id for r in similar.drop_similar(docs).collect()} == plain_kept(texts)
+
+
+def test_many_common_shingles_cost_little(spark):
+    """The more texts, the more shingles are common; looking one text's up must not take time for all of them."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(500)], "doc_id long, text string").repartition(4)
+    common = np.sort(np.append(rng.integers(-(2**63), 2**63 - 1, 200_000), similar.shingles(b"a b c d e", 5)))
+    start = time.perf_counter()
+    rows = similar.prefixes(docs, 5, 0.8, common, 16).collect()
+    assert time.perf_counter() - start < 5
+    assert len(rows) == 500  # of two shingles the first, and the common one comes last
+    assert {r.token for r in rows} == {int(x) for i in range(500) for x in similar.shingles(f"b c d e f{i}".encode(), 5)}
+    assert not similar.among(common[:5], common[:0]).any() and similar.among(common[-5:], common).all()
+
+
+@pytest.mark.parametrize("n", [300, 900, 1500, 2500])
+def test_long_texts_that_share_a_shingle_are_told_apart(n):
+    """Pairs of a rare shingle's texts grow with the square of their number, so unlike ones must go before any set is looked at."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(np.append(rng.integers(0, 2**62, n + 20 * k), 7)) for k in range(12)]
+    sets.append(np.unique(np.append(sets[0], 5)))  # similar to the first
+
+    def sig(s):
+        bits = similar.signature_bits(len(s))
+        return np.packbits((np.bincount((s & (bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+    ids = list(range(len(sets)))
+    group = pa.table({"token": [7] * len(sets), "doc_id": ids, "n": [len(s) for s in sets], "pos": [0] * len(sets), "label": ids, "sig": [sig(s) for s in sets]})
+    assert similar.open_pairs(0.8)(group).to_pylist() == [{"a": 0, "b": len(sets) - 1}]
