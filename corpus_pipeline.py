@@ -27,7 +27,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each component of near duplicates: five-word shingles of similarity 0.8 or more."""
+    """One document, the first, of each component of near duplicates: five-word shingles of similarity 0.8 or more.
+
+    The SimHash trie join links first, the exact similarity decides, and shared shingles find what differs in more bits.
+    """
     return similar.drop_similar(docs, words_in=5, similarity=0.8)
 
 

@@ -48,6 +48,14 @@ def fingerprint(text: bytes, words_in: int = 3, block: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have set."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[at : at + block].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, words_in: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number. Null text counts as empty."""
 

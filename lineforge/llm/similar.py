@@ -6,8 +6,9 @@ most others without looking at the texts, and parity bitmaps of the sets, whose
 shingles, most of what is left. Every link is verified on the whole sets and none is lost. The order itself may be
 any: which shingles count as common affects the work, not the result.
 
-Components need few links. First every text is compared with one pivot of each shingle it shares; then, of texts that
-still are in different components, those pairs that share a shingle and whose signatures (small parity bitmaps that travel with
+Components need few links. First the SimHash trie join links texts whose fingerprints over the same shingles differ in 3 bits
+or fewer, as far as the exact similarity bears it out. Similar texts may differ in more bits, so the shingles find the rest:
+every text is compared with one pivot of each shingle it shares, then, of texts that still are in different components, those pairs that share a shingle and whose signatures (small parity bitmaps that travel with
 the shingles) may belong to similar sets. In a large group of copies that are nearly but not quite similar enough, signatures
 leave few pairs, so that pairs don't grow with the square of the group.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, one_row_each, raw_texts, tidy, without, written
 from .components import connected_components
+from .simhash import majority, near_links
 
 SIGNATURES = (512, 1024, 2048)  # bits that travel with a text's shingles: the first that are as many as these, or the last
 _EPS = 1e-9
@@ -175,23 +177,40 @@ def open_pairs(similarity: float):
 
 
 def bitmaps(docs: DataFrame, words_in: int) -> DataFrame:
-    """(doc_id, size, bits, sig): number of shingles, and bitmaps of the next power of two bits and of ``signature_bits``, set where
-    an odd number of hashes fall."""
+    """(doc_id, size, bits, sig, fp): number of shingles, bitmaps of the next power of two bits and of ``signature_bits``, set where
+    an odd number of hashes fall, and the SimHash fingerprint of the shingles."""
     parity = lambda s, width: np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
     def make():
         def f(batch: pa.RecordBatch):
-            sizes, bits, sigs = [], [], []
+            sizes, bits, sigs, fps = [], [], [], []
             for text in raw_texts(batch.column("text")):
                 s = shingles(text, words_in).view(np.uint64)
                 sizes.append(len(s))
                 bits.append(parity(s, max(64, 1 << (len(s) - 1).bit_length())))
                 sigs.append(parity(s, signature_bits(len(s))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "size", "bits", "sig"])
+                fps.append(majority(s))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sigs, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "bits", "sig", "fp"])
 
         return f
 
-    return arrow_map(_texts(docs), make, "doc_id long, size int, bits binary, sig binary")
+    return arrow_map(_texts(docs), make, "doc_id long, size int, bits binary, sig binary, fp long")
+
+
+def trie_pairs(maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect documents whose fingerprints the trie join links: equal ones, and representatives of close ones."""
+    points = written(maps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
+    own = maps.join(points, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    both = own.union(near_links(points)).where("a != b")
+    return written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "trie-pairs")
+
+
+def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ends are in different components yet."""
+    one = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    both = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left")
+    return both.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
 
 
 def _fold(bits: np.ndarray, to: int) -> np.ndarray:
@@ -243,14 +262,17 @@ def similar_links(docs: DataFrame, words_in: int = 5, similarity: float = 0.8, b
     rows = prefixes(docs, words_in, similarity, common_shingles(docs, words_in), buckets)
     shared = written(rows.groupBy("bucket").applyInArrow(shared_only, "bucket int, token long, doc_id long, n int, pos int, pivot_doc_id long, pivot_n int, pivot_pos int"), "shared-shingles")
     fits = _may_link(F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"), similarity, F.least)
-    stars = written(shared.where((F.col("doc_id") != F.col("pivot_doc_id")) & fits).select(F.col("pivot_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     maps = written(bitmaps(docs, words_in).distinct(), "bitmaps")
-    links = verified(plausible(stars, maps, similarity), docs, words_in, similarity)
+    close = trie_pairs(maps)
+    links = verified(plausible(close, maps, similarity), docs, words_in, similarity)
+    stars = shared.where((F.col("doc_id") != F.col("pivot_doc_id")) & fits).select(F.col("pivot_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = written(apart(stars.join(close, ["a", "b"], "left_anti"), connected_components(links)), "pairs")
+    links = links.union(verified(plausible(stars, maps, similarity), docs, words_in, similarity))
     component = connected_components(links)
     known = maps.select("doc_id", "size", "sig").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "sig", F.coalesce("component", "doc_id").alias("label"))
     labelled = shared.select("bucket", "token", "doc_id", F.col("n").alias("size"), "pos").join(known, ["doc_id", "size"]).withColumnRenamed("size", "n")
     rest = labelled.groupBy("bucket").applyInArrow(open_pairs(similarity), "a long, b long").distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest.join(close.union(stars), ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(plausible(rest, maps, similarity), docs, words_in, similarity))
 
 
@@ -259,8 +281,8 @@ def drop_similar(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) ->
 
     Texts are similar if the Jaccard similarity of their word shingles is ``similarity`` at least. Null text counts as empty;
     texts without words are alike. Rows that repeat a doc_id are one document, similar to what any of its texts is similar to;
-    the least of its rows by all columns stays. Rows without doc_id stay. Of long texts bitmaps travel, and shingle sets where
-    a link is verified.
+    the least of its rows by all columns stays. Rows without doc_id stay. Of long texts bitmaps and fingerprints travel, and shingle
+    sets where a link is verified.
     """
     gone = connected_components(similar_links(docs, words_in, similarity)).where("node != component").select(F.col("node").alias("gone"))
     return one_row_each(without(docs, gone), "doc_id")

@@ -83,3 +83,31 @@ def test_long_texts_that_share_a_shingle_are_told_apart(n):
     ids = list(range(len(sets)))
     group = pa.table({"token": [7] * len(sets), "doc_id": ids, "n": [len(s) for s in sets], "pos": [0] * len(sets), "label": ids, "sig": [sig(s) for s in sets]})
     assert similar.open_pairs(0.8)(group).to_pylist() == [{"a": 0, "b": len(sets) - 1}]
+
+
+def test_near_stage_links_by_the_trie_first(spark, monkeypatch):
+    """The trie join of five-word fingerprints is a step of the stage; what it links isn't compared again by shingles."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = {}
+    for _ in range(6):
+        words = [word() for _ in range(3000)]
+        for k in range(4):
+            texts[len(texts)] = " ".join([*words, *(word() for _ in range(k))])
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = {i: sum((2 * sum(int(h) >> b & 1 for h in s) > len(s)) << b for b in range(64)) for i, t in texts.items() for s in [similar.shingles(t.encode(), 5).view("uint64")]}
+    maps = similar.bitmaps(docs, 5)
+    assert {r.doc_id: r.fp % (1 << 64) for r in maps.collect()} == plain
+    close = [(a, b) for a in plain for b in plain if a < b and (plain[a] ^ plain[b]).bit_count() <= 3]
+    pairs = [(r.a, r.b) for r in similar.trie_pairs(maps).collect()]
+    assert close and plain_components(sorted(plain), pairs) == plain_components(sorted(plain), close)
+    asked, apart = [], similar.apart
+
+    def seen(pairs, component):
+        asked.append([(r.a, r.b) for r in apart(pairs, component).collect()])
+        return apart(pairs, component)
+
+    monkeypatch.setattr(similar, "apart", seen)
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == plain_kept(texts)
+    of = plain_components(sorted(plain), close)
+    assert len(asked) == 1 and all(of[a] != of[b] for a, b in asked[0])
