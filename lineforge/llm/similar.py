@@ -82,7 +82,8 @@ def common_shingles(docs: DataFrame, words_in: int, least: int = 64, most: int =
 
 
 def prefixes(docs: DataFrame, words_in: int, similarity: float, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, token, doc_id, n, pos): the first shingles of every text, enough that similar texts share one."""
+    """(bucket, token, doc_id, n, pos, last, last2): the first shingles of every text, enough that similar texts share one, each with
+    the two before it."""
 
     def make():
         def f(batch: pa.RecordBatch):
@@ -98,12 +99,13 @@ def prefixes(docs: DataFrame, words_in: int, similarity: float, common: np.ndarr
                 return
             token, rep = np.concatenate(tokens), np.array(lens)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(rep) - rep, rep)
-            columns = [(token.view(np.uint64) % np.uint64(buckets)).astype(np.int32), token, np.repeat(ids, rep), np.repeat(np.array(sizes, np.int32), rep), pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "token", "doc_id", "n", "pos"])
+            before = [np.where(pos >= k, np.concatenate([np.zeros(k, np.int64), token])[: len(token)], 0) for k in (1, 2)]
+            columns = [(token.view(np.uint64) % np.uint64(buckets)).astype(np.int32), token, np.repeat(ids, rep), np.repeat(np.array(sizes, np.int32), rep), pos.astype(np.int32), *before]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "token", "doc_id", "n", "pos", "last", "last2"])
 
         return f
 
-    return arrow_map(_texts(docs), make, "bucket int, token long, doc_id long, n int, pos int")
+    return arrow_map(_texts(docs), make, "bucket int, token long, doc_id long, n int, pos int, last long, last2 long")
 
 
 def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ def shared_only(group: pa.Table) -> pa.Table:
     order = np.lexsort((doc, token))
     starts, size = _groups(token[order])
     rows, first = order[np.repeat(size > 1, size)], order[np.repeat(starts, size)[np.repeat(size > 1, size)]]
-    out = group.select(["bucket", "token", "doc_id", "n", "pos"]).take(pa.array(rows))
+    out = group.select(["bucket", "token", "doc_id", "n", "pos", "last", "last2"]).take(pa.array(rows))
     for name in ("doc_id", "n", "pos"):
         out = out.append_column(f"pivot_{name}", group.column(name).take(pa.array(first)))
     return out
@@ -147,13 +149,18 @@ def _signatures(sigs: list[bytes]) -> tuple[list[int], dict[int, np.ndarray]]:
 
 
 def open_pairs(similarity: float):
-    """Pairs (a, b) of texts that share a token of the bucket, may be similar and are not in one component yet."""
+    """Pairs (a, b) of texts that share a token of the bucket, may be similar and are not in one component yet.
+
+    A pair that also shares one of the two tokens before has been found there. It is left out here, so that pairs aren't found once
+    for each of many shared tokens; at the first token that a pair shares it never is.
+    """
     share = (1 - similarity) / (1 + similarity)
 
     def f(group: pa.Table) -> pa.Table:
-        token, doc, n, pos, label = (group.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos", "label"))
+        token, doc, n, pos, label, last, last2 = (group.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos", "label", "last", "last2"))
         order = np.lexsort((n, token))
-        token, doc, n, pos, label = (x[order].astype(np.int64) for x in (token, doc, n, pos, label))
+        token, doc, n, pos, label, last, last2 = (x[order].astype(np.int64) for x in (token, doc, n, pos, label, last, last2))
+        before = ((last, pos >= 1), (last2, pos >= 2))
         width, folded = _signatures(group.column("sig").take(pa.array(order)).to_pylist())
         found = [np.zeros((0, 2), np.int64)]
         for lo, size in zip(*_groups(token), strict=True):
@@ -166,6 +173,9 @@ def open_pairs(similarity: float):
                 y = y[(label[y] != label[x]) & _may_link(n[x], n[y], pos[x], pos[y], similarity)]
                 sig = folded[width[x]]  # no row of the token after x has less
                 y = y[np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= share * (n[x] + n[y]) + _EPS]
+                for own, there in before if len(y) else ():
+                    for other, too in before if there[x] else ():
+                        y = y[(other[y] != own[x]) | ~too[y]]
                 if len(y):
                     found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
             if sum(map(len, found)) > 1 << 20:
@@ -260,7 +270,7 @@ def similar_links(docs: DataFrame, words_in: int = 5, similarity: float = 0.8, b
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(16, -(-size // bucket_bytes))  # as many as the texts ask for, so that a bucket stays small
     rows = prefixes(docs, words_in, similarity, common_shingles(docs, words_in), buckets)
-    shared = written(rows.groupBy("bucket").applyInArrow(shared_only, "bucket int, token long, doc_id long, n int, pos int, pivot_doc_id long, pivot_n int, pivot_pos int"), "shared-shingles")
+    shared = written(rows.groupBy("bucket").applyInArrow(shared_only, "bucket int, token long, doc_id long, n int, pos int, last long, last2 long, pivot_doc_id long, pivot_n int, pivot_pos int"), "shared-shingles")
     fits = _may_link(F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"), similarity, F.least)
     maps = written(bitmaps(docs, words_in).distinct(), "bitmaps")
     close = trie_pairs(maps)
@@ -270,7 +280,7 @@ def similar_links(docs: DataFrame, words_in: int = 5, similarity: float = 0.8, b
     links = links.union(verified(plausible(stars, maps, similarity), docs, words_in, similarity))
     component = connected_components(links)
     known = maps.select("doc_id", "size", "sig").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "sig", F.coalesce("component", "doc_id").alias("label"))
-    labelled = shared.select("bucket", "token", "doc_id", F.col("n").alias("size"), "pos").join(known, ["doc_id", "size"]).withColumnRenamed("size", "n")
+    labelled = shared.select("bucket", "token", "doc_id", F.col("n").alias("size"), "pos", "last", "last2").join(known, ["doc_id", "size"]).withColumnRenamed("size", "n")
     rest = labelled.groupBy("bucket").applyInArrow(open_pairs(similarity), "a long, b long").distinct()
     rest = written(rest.join(close.union(stars), ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(plausible(rest, maps, similarity), docs, words_in, similarity))

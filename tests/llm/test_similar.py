@@ -81,7 +81,7 @@ def test_long_texts_that_share_a_shingle_are_told_apart(n):
         return np.packbits((np.bincount((s & (bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
     ids = list(range(len(sets)))
-    group = pa.table({"token": [7] * len(sets), "doc_id": ids, "n": [len(s) for s in sets], "pos": [0] * len(sets), "label": ids, "sig": [sig(s) for s in sets]})
+    group = pa.table({"token": [7] * len(sets), "doc_id": ids, "n": [len(s) for s in sets], "pos": [0] * len(sets), "label": ids, "last": [0] * len(sets), "last2": [0] * len(sets), "sig": [sig(s) for s in sets]})
     assert similar.open_pairs(0.8)(group).to_pylist() == [{"a": 0, "b": len(sets) - 1}]
 
 
@@ -111,3 +111,26 @@ def test_near_stage_links_by_the_trie_first(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == plain_kept(texts)
     of = plain_components(sorted(plain), close)
     assert len(asked) == 1 and all(of[a] != of[b] for a, b in asked[0])
+
+
+def test_pairs_are_found_at_few_of_the_shingles_they_share(spark):
+    """Else a family of nearly similar texts gives each of its pairs once for every shingle of their prefixes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words, texts = [word() for _ in range(600)], []
+    for _ in range(20):
+        own = list(words)
+        for k in rng.sample(range(600), rng.randrange(4, 10)):
+            own[k] = word()
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = similar.prefixes(docs, 5, 0.8, np.zeros(0, np.int64), 64).toArrow().to_pylist()
+    sigs = {r.doc_id: r.sig for r in similar.bitmaps(docs, 5).collect()}
+    found = []
+    for bucket in range(64):
+        own = [r | {"label": r["doc_id"], "sig": sigs[r["doc_id"]]} for r in rows if r["bucket"] == bucket]
+        found += [(r["a"], r["b"]) for r in similar.open_pairs(0.8)(pa.Table.from_pylist(own)).to_pylist()] if own else []
+    sets = [plain_shingles(t) for t in texts]
+    alike = {(a, b) for a in range(20) for b in range(a + 1, 20) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert alike and alike <= set(found)
+    assert len(found) <= 5 * len(set(found))
