@@ -8,9 +8,11 @@ any: which shingles count as common affects the work, not the result.
 
 Components need few links. First the SimHash trie join links texts whose fingerprints over the same shingles differ in 3 bits
 or fewer, as far as the exact similarity bears it out. Similar texts may differ in more bits, so the shingles find the rest:
-every text is compared with one pivot of each shingle it shares, then, of texts that still are in different components, those pairs that share a shingle and whose signatures (small parity bitmaps that travel with
-the shingles) may belong to similar sets. In a large group of copies that are nearly but not quite similar enough, signatures
-leave few pairs, so that pairs don't grow with the square of the group.
+every text is compared with one pivot of each shingle it shares, then, of texts that still are in different components, those
+pairs that share a shingle and whose signatures (small parity bitmaps that travel with the shingles) may belong to similar sets:
+first a forest of them, the nearest in each bucket, and then, at shingles that have more, all whose ends the forest's links leave
+in different components. In a large group most pairs need no look after the forest, and of copies that are nearly but not quite
+similar enough, signatures leave few; those that they leave still grow with the square of such a group.
 """
 
 from __future__ import annotations
@@ -148,44 +150,93 @@ def _signatures(sigs: list[bytes]) -> tuple[list[int], dict[int, np.ndarray]]:
     return width, folded
 
 
-def open_pairs(similarity: float):
-    """Pairs (a, b) of texts that share a token of the bucket, may be similar and are not in one component yet.
+def _candidates(group: pa.Table, similarity: float, most: int = 1 << 20):
+    """(token, a, b, labels of a and b, distance) of pairs of texts that share a token of the bucket, may be similar and are not in
+    one component yet, as arrays of a token's pairs, ``most`` or few more at a time. The distance is 1 at most.
 
     A pair that also shares one of the two tokens before has been found there. It is left out here, so that pairs aren't found once
     for each of many shared tokens; at the first token that a pair shares it never is.
     """
     share = (1 - similarity) / (1 + similarity)
+    token, doc, n, pos, label, last, last2 = (group.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos", "label", "last", "last2"))
+    order = np.lexsort((n, token))
+    token, doc, n, pos, label, last, last2 = (x[order].astype(np.int64) for x in (token, doc, n, pos, label, last, last2))
+    before = ((last, pos >= 1), (last2, pos >= 2))
+    width, folded = _signatures(group.column("sig").take(pa.array(order)).to_pylist())
+    for lo, size in zip(*_groups(token), strict=True):
+        hi = lo + size
+        if (label[lo:hi] == label[lo]).all():
+            continue
+        xs, ys, far, held = [], [], [], 0
+        for x in range(lo, hi - 1):
+            stop = lo + int(np.searchsorted(n[lo:hi], n[x] / similarity + _EPS, "right"))
+            y = np.arange(x + 1, stop)
+            y = y[(label[y] != label[x]) & _may_link(n[x], n[y], pos[x], pos[y], similarity)]
+            sig = folded[width[x]]  # no row of the token after x has less
+            differ, allowed = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1), share * (n[x] + n[y]) + _EPS
+            near = differ <= allowed
+            y, distance = y[near], differ[near] / allowed[near]
+            for own, there in before if len(y) else ():
+                for other, too in before if there[x] else ():
+                    new = (other[y] != own[x]) | ~too[y]
+                    y, distance = y[new], distance[new]
+            if len(y):
+                xs.append(np.full(len(y), x))
+                ys.append(y)
+                far.append(distance)
+                held += len(y)
+            if xs and (held >= most or x == hi - 2):
+                i, j = np.concatenate(xs), np.concatenate(ys)
+                yield token[lo], np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), label[i], label[j], np.concatenate(far)
+                xs, ys, far, held = [], [], [], 0
+
+
+def open_pairs(similarity: float):
+    """Pairs (a, b) of texts that share a token of the bucket, may be similar and are not in one component yet: all of them."""
 
     def f(group: pa.Table) -> pa.Table:
-        token, doc, n, pos, label, last, last2 = (group.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos", "label", "last", "last2"))
-        order = np.lexsort((n, token))
-        token, doc, n, pos, label, last, last2 = (x[order].astype(np.int64) for x in (token, doc, n, pos, label, last, last2))
-        before = ((last, pos >= 1), (last2, pos >= 2))
-        width, folded = _signatures(group.column("sig").take(pa.array(order)).to_pylist())
-        found = [np.zeros((0, 2), np.int64)]
-        for lo, size in zip(*_groups(token), strict=True):
-            hi = lo + size
-            if (label[lo:hi] == label[lo]).all():
-                continue
-            for x in range(lo, hi - 1):
-                stop = lo + int(np.searchsorted(n[lo:hi], n[x] / similarity + _EPS, "right"))
-                y = np.arange(x + 1, stop)
-                y = y[(label[y] != label[x]) & _may_link(n[x], n[y], pos[x], pos[y], similarity)]
-                sig = folded[width[x]]  # no row of the token after x has less
-                y = y[np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= share * (n[x] + n[y]) + _EPS]
-                for own, there in before if len(y) else ():
-                    for other, too in before if there[x] else ():
-                        y = y[(other[y] != own[x]) | ~too[y]]
-                if len(y):
-                    found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], 1))
-            if sum(map(len, found)) > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
+        found, held = [np.zeros((0, 2), np.int64)], 0
+        for _, a, b, *_ in _candidates(group, similarity):
+            found.append(np.stack([a, b], 1))
+            held += len(a)
+            if held > 1 << 20:
+                found, held = [np.unique(np.concatenate(found), axis=0)], 0
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return f
 
 
+def forest_pairs(similarity: float):
+    """Of ``open_pairs`` a forest that connects what they all connect, the nearest pairs first; and the tokens (token, a and b null)
+    that have other pairs. Those need a look only if the forest's pairs turn out not to be similar."""
+
+    def f(group: pa.Table) -> pa.Table:
+        above, pairs, left = {}, set(), set()
+
+        def root(x):
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for token, a, b, of_a, of_b, distance in _candidates(group, similarity):
+            order = np.argsort(distance, kind="stable")
+            for p, q, x, y in zip(*(v[order].tolist() for v in (a, b, of_a, of_b)), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    pairs.add((p, q))
+                elif (p, q) not in pairs:
+                    left.add(int(token))
+        pairs, left = sorted(pairs), sorted(left)
+        nothing = [None] * len(left)
+        columns = [group.column("bucket").to_pylist()[:1] * (len(pairs) + len(left)), [None] * len(pairs) + left, [p[0] for p in pairs] + nothing, [p[1] for p in pairs] + nothing]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["bucket", "token", "a", "b"])
+
+    return f
+
+
 def bitmaps(docs: DataFrame, words_in: int) -> DataFrame:
     """(doc_id, size, bits, sig, fp): number of shingles, bitmaps of the next power of two bits and of ``signature_bits``, set where
     an odd number of hashes fall, and the SimHash fingerprint of the shingles."""
@@ -278,11 +329,22 @@ def similar_links(docs: DataFrame, words_in: int = 5, similarity: float = 0.8, b
     stars = shared.where((F.col("doc_id") != F.col("pivot_doc_id")) & fits).select(F.col("pivot_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = written(apart(stars.join(close, ["a", "b"], "left_anti"), connected_components(links)), "pairs")
     links = links.union(verified(plausible(stars, maps, similarity), docs, words_in, similarity))
-    component = connected_components(links)
-    known = maps.select("doc_id", "size", "sig").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "sig", F.coalesce("component", "doc_id").alias("label"))
-    labelled = shared.select("bucket", "token", "doc_id", F.col("n").alias("size"), "pos", "last", "last2").join(known, ["doc_id", "size"]).withColumnRenamed("size", "n")
-    rest = labelled.groupBy("bucket").applyInArrow(open_pairs(similarity), "a long, b long").distinct()
-    rest = written(rest.join(close.union(stars), ["a", "b"], "left_anti"), "pairs")
+    tried, rows = close.union(stars), shared.select("bucket", "token", "doc_id", F.col("n").alias("size"), "pos", "last", "last2")
+
+    def labelled() -> DataFrame:
+        component = connected_components(links)
+        known = maps.select("doc_id", "size", "sig").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "sig", F.coalesce("component", "doc_id").alias("label"))
+        return rows.join(known, ["doc_id", "size"]).withColumnRenamed("size", "n").groupBy("bucket")
+
+    found = written(labelled().applyInArrow(forest_pairs(similarity), "bucket int, token long, a long, b long"), "forest")
+    forest = written(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links, tried = links.union(verified(plausible(forest, maps, similarity), docs, words_in, similarity)), tried.union(forest)
+    left = found.where("a is null").select("bucket", "token")
+    if left.isEmpty():
+        return links
+    rows = written(rows.join(left, ["bucket", "token"], "left_semi"), "open-shingles")
+    rest = labelled().applyInArrow(open_pairs(similarity), "a long, b long").distinct()
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(plausible(rest, maps, similarity), docs, words_in, similarity))
 
 

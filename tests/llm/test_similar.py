@@ -134,3 +134,49 @@ def test_pairs_are_found_at_few_of_the_shingles_they_share(spark):
     alike = {(a, b) for a in range(20) for b in range(a + 1, 20) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert alike and alike <= set(found)
     assert len(found) <= 5 * len(set(found))
+
+
+def test_a_large_group_needs_few_of_its_pairs(spark, monkeypatch):
+    """Pairs of a group of similar texts grow with its square; links that its components don't need must not all be verified."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words, texts = [word() for _ in range(300)], {}
+    for i in range(160):
+        own = list(words)
+        for k in rng.sample(range(300), rng.randrange(1, 9)):
+            own[k] = word()
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked, plausible = [], similar.plausible
+
+    def seen(pairs, *rest):
+        asked.append(pairs.count())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(similar, "plausible", seen)
+    monkeypatch.setattr(similar, "trie_pairs", lambda maps: maps.selectExpr("doc_id a", "doc_id b").where("false"))
+    monkeypatch.setattr(similar, "apart", lambda pairs, component: pairs.where("false"))  # the forest has the group to itself
+    assert {r.doc_id for r in similar.drop_similar(docs).collect()} == plain_kept(texts)
+    assert sum(asked) < 8 * len(texts)
+
+
+def test_forest_connects_what_all_open_pairs_connect():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 300)
+    sets = [np.unique(np.append(np.concatenate([base[: 300 - k % 40], rng.integers(0, 2**62, k % 40)]), 7)) for k in range(120)]
+    sets += [np.unique(np.append(rng.integers(0, 2**62, 300), 7)) for _ in range(5)]
+
+    def sig(s):
+        bits = similar.signature_bits(len(s))
+        return np.packbits((np.bincount((s & (bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+    ids = list(range(len(sets)))
+    zeros = [0] * len(ids)
+    group = pa.table({"bucket": pa.array(zeros, pa.int32()), "token": [7] * len(ids), "doc_id": ids, "n": [len(s) for s in sets], "pos": zeros, "label": [min(i, 2) if i < 4 else i for i in ids], "last": zeros, "last2": zeros, "sig": [sig(s) for s in sets]})
+    every = [(r["a"], r["b"]) for r in similar.open_pairs(0.8)(group).to_pylist()]
+    found = similar.forest_pairs(0.8)(group).to_pylist()
+    forest = [(r["a"], r["b"]) for r in found if r["a"] is not None]
+    assert set(forest) <= set(every) and len(forest) < len(ids) < len(every)
+    one = [(2, 3)]  # these have one label
+    assert plain_components(ids, forest + one) == plain_components(ids, every + one)
+    assert [(r["bucket"], r["token"]) for r in found if r["a"] is None] == [(0, 7)]
