@@ -2,7 +2,8 @@
 
 A word (match of the split pattern) is cut where two bytes meet that no piece of the vocabulary has side by side: no merge can
 cross such a place. A task packs consecutive texts into a block: its distinct parts of words as arrays of byte ranks, and for
-each text the numbers of its parts. The JVM then folds ranked merges over every distinct part with ``aggregate``, a lowest pair
+each text the numbers of its parts. Parts of a small sample of the table are merged before and known to every task, so that it only
+packs those that are new to it; which texts are sampled affects the work, not the result. The JVM then folds ranked merges over every distinct part with ``aggregate``, a lowest pair
 at a time, or in long parts all places of the lowest pair at a time. The rank map is a literal array (a scalar subquery, which
 every task gets once) looked up by arithmetic alone. Decoding concatenates the pieces' bytes the same way. Block rows never
 leave their task: nothing is shuffled, and a block's size is bounded whatever the table's.
@@ -11,6 +12,7 @@ leave their task: nothing is shuffled, and a block's size is bounded whatever th
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import itertools
@@ -22,16 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import give_back, small_batches, tidy
 
 BITS, PLACE = 17, 7  # of an id or rank, and of a place in a part
 NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
 EMPTY = (1 << 2 * BITS) - 1  # what a slot without a pair holds
-HELD_PARTS = 300_000  # after which a task numbers its parts anew
+HELD_PARTS = 340_000  # after which a task numbers its parts anew; a dictionary of 349,525 doubles
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 10  # texts whose parts are merged once for all tasks, and their most bytes
+SAMPLE_LEAST = 8 * SAMPLE_ROWS  # rows of a table that is worth it
+KNOWN_PARTS = 200_000  # of them, at most
 STEPWISE = 100  # bytes of a part up to which one pair is merged a step
 
 
@@ -164,15 +170,17 @@ def _rank(left: Column, right: Column, slots: Column, base: Column) -> Column:
 def fold_merges(part: Column, slots: Column, base: Column) -> Column:
     """array<bigint> of ``part_state`` -> array<int> of token ids: merges one pair after the other until none is left."""
     low, places = F.lit((1 << (BITS + PLACE)) - 1).cast("bigint"), F.lit(((1 << PLACE) - 1) << BITS).cast("bigint")
-    rank = lambda left, right: F.least(F.shiftleft(_rank(left, right, slots, base), BITS + PLACE), F.lit(END))
+    # numbers from ``END`` on are no pairs, whatever their high bits
+    rank = lambda left, right: F.shiftleft(_rank(left.cast("int"), right.cast("int"), slots, base), BITS + PLACE)
 
     def merge_least(e, least):
-        made = F.shiftright(least, BITS + PLACE).cast("int")
+        made = F.shiftright(least, BITS + PLACE)
 
         def at(i):
             before = F.get(e, i - 2)
-            left = rank(_id(before), made).bitwiseOR(before.bitwiseAND(low))
-            new = rank(made, _id(F.get(e, i + 1))).bitwiseOR(least.bitwiseAND(places)).bitwiseOR(made.cast("bigint"))
+            left = rank(before.bitwiseAND(NONE), made).bitwiseOR(before.bitwiseAND(low))
+            after = F.coalesce(rank(made, F.get(e, i + 1).bitwiseAND(NONE)), F.lit(END))
+            new = after.bitwiseOR(least.bitwiseAND(places)).bitwiseOR(made)
             return F.concat(F.slice(e, 1, i - 2), F.array(left, new), F.slice(e, i + 2, BIG))
 
         return _let(F.array_position(e, least).cast("int"), at)
@@ -272,15 +280,37 @@ class _Numbers(dict):
         return n
 
 
+class Known:
+    """Parts that are merged already, numbered from 0: their ids one after the other, how many each has, and their bytes."""
+
+    def __init__(self, flat: np.ndarray, lens: np.ndarray, parts: pa.Array):
+        self.flat, self.lens, self._parts = flat, lens, parts
+
+    def __len__(self) -> int:
+        return len(self.lens)
+
+    @functools.cached_property  # of the worker, which keeps what is broadcast between tasks
+    def parts(self) -> list[bytes]:
+        return self._parts.to_pylist()
+
+    @functools.cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return {part: n for n, part in enumerate(self.parts)}
+
+
+NOTHING_KNOWN = Known(np.zeros(0, np.uint32), np.zeros(0, np.int64), pa.array([], pa.binary()))
+
+
 class Parts:
-    """A task's distinct parts of words, and the distinct words of its present block, both numbered from 0."""
+    """A task's distinct parts of words, those known before first, and the distinct words of its present block, both numbered from 0."""
 
-    def __init__(self, ranks: RankMap):
-        self.ranks = ranks
+    def __init__(self, ranks: RankMap, known: Known = NOTHING_KNOWN):
+        self.ranks, self.known = ranks, known
         self.clear()
 
     def clear(self) -> None:
-        self.parts, self.sent = _Numbers(), 0  # a part is its bytes, or a piece's id where that stands for a whole word
+        # a part is its bytes, or a piece's id where that stands for a whole word
+        self.parts, self.sent = _Numbers(self.known.numbers), len(self.known)
         self.new_block()
 
     def new_block(self) -> None:
@@ -337,18 +367,18 @@ def _one(values, kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
-def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> DataFrame:
+def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int, known=None) -> DataFrame:
     """A row for each run of texts of about ``block_bytes``: new distinct parts, and part numbers of every text.
 
-    Parts are numbered over a task's blocks, from 0 again where ``first`` is 0.
+    Parts are numbered over a task's blocks, after the ``known`` ones, and anew where ``first`` is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(pattern), Parts(shared.value)
+        split, seen = splitter(pattern), Parts(shared.value, known.value if known else NOTHING_KNOWN)
         ids, words, size = [], [], 0
 
         def block():
-            first = seen.sent
+            first = seen.sent - len(seen.known)
             seen.add_words()
             codes = [seen.codes(w) for w in words]
             n_parts = np.fromiter(map(len, codes), np.int32, len(codes))
@@ -371,6 +401,28 @@ def part_blocks(docs: DataFrame, shared, pattern: str, block_bytes: int) -> Data
     return docs.mapInArrow(tidy(run), BLOCK)
 
 
+def known_parts(rows: DataFrame, shared, pattern: str, block_bytes: int, coded) -> Known:
+    """Parts of the first ``SAMPLE_ROWS`` shorter texts of the first partition; none of a small table.
+
+    ``coded`` merges blocks of ``part_blocks``. Parts that don't decode to themselves, for lack of a byte's rank, are left out, as
+    are all of a vocabulary with pieces that only stand for whole words.
+    """
+    if shared.value.whole or rows.select("doc_id").limit(SAMPLE_LEAST).count() < SAMPLE_LEAST:
+        return NOTHING_KNOWN
+    sample = rows.where(F.spark_partition_id() == 0).where(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_ROWS)
+    found = coded(part_blocks(sample, shared, pattern, block_bytes)).select(F.explode(F.arrays_zip("ids", "spelled")).alias("part")).select("part.*").toArrow()
+    ids, spelled = found.column("ids").combine_chunks(), found.column("spelled").combine_chunks()
+    flat, lens = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(lens)), lens)
+    whole = np.ones(len(lens), bool)
+    whole[of[flat == shared.value.sentinel]] = False
+    first = np.zeros(len(lens), bool)
+    first[np.unique(spelled.dictionary_encode().indices.to_numpy(zero_copy_only=False), return_index=True)[1]] = True
+    keep = whole & first
+    keep[np.flatnonzero(keep)[KNOWN_PARTS:]] = False
+    return Known(flat[keep[of]].astype(np.uint32), lens[keep], spelled.filter(pa.array(keep)).cast(pa.binary()))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row's whole text; null text counts as empty.
 
@@ -385,20 +437,27 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = 2
     slots, base, pieces = (literal.select(c).scalar() for c in ("slots", "base", "pieces"))
     shared = spark.sparkContext.broadcast(m)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = part_blocks(rows, shared, pattern, block_bytes).select("*", slots.alias("slots"), base.alias("base"), pieces.alias("pieces"))
-    how = (F.col("slots"), F.col("base"))
-    coded = blocks.withColumn("ids", F.transform("parts", lambda w: F.when(F.size(w) <= STEPWISE, fold_merges(w, *how)).otherwise(fold_passes(w, *how))))
-    spell = lambda ids: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(F.col("pieces"), i)))
-    coded = coded.select("first", "doc_id", "n_parts", "codes", "ids", F.transform("ids", spell).alias("spelled"))
+
+    def merged(blocks: DataFrame) -> DataFrame:
+        blocks = blocks.select("*", slots.alias("slots"), base.alias("base"), pieces.alias("pieces"))
+        how = (F.col("slots"), F.col("base"))
+        coded = blocks.withColumn("ids", F.transform("parts", lambda w: F.when(F.size(w) <= STEPWISE, fold_merges(w, *how)).otherwise(fold_passes(w, *how))))
+        spell = lambda ids: F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(F.col("pieces"), i)))
+        return coded.select("first", "doc_id", "n_parts", "codes", "ids", F.transform("ids", spell).alias("spelled"))
+
+    known = spark.sparkContext.broadcast(known_parts(rows, shared, pattern, block_bytes, merged))
+    give_back()
+    coded = merged(part_blocks(rows, shared, pattern, block_bytes, known))
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lens, flat, parts = np.zeros(0, np.int64), np.zeros(0, np.uint32), []
+        before = known.value
+        lens, flat, parts = before.lens, before.flat, list(before.parts)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, n_parts, codes, lists, spelled = (batch.column(c)[row].values for c in ("doc_id", "n_parts", "codes", "ids", "spelled"))
                 if batch.column("first")[row].as_py() == 0:
-                    lens, flat, parts = lens[:0], flat[:0], []
+                    lens, flat, parts = before.lens, before.flat, list(before.parts)
                 ends = lists.offsets.to_numpy()
                 lens = np.concatenate([lens, np.diff(ends).astype(np.int64)])
                 flat = np.concatenate([flat, lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.uint32)])

@@ -225,6 +225,30 @@ def test_bpe(docs, rows, empty, odd, tokens, monkeypatch):
     assert bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 45
 
 
+def test_bpe_parts_of_a_sample_are_merged_once(spark, rows, tokens, monkeypatch):
+    """Every task would merge the same frequent parts again; those of a sample come to it merged."""
+    _, enc = tokens
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] * 2, "doc_id long, text string").repartition(3)
+    made, part_blocks = [], bpe.part_blocks
+
+    def blocks(docs, *how):
+        made.append(part_blocks(docs, *how))
+        return made[-1]
+
+    monkeypatch.setattr(bpe, "part_blocks", blocks)
+    monkeypatch.setattr(bpe, "SAMPLE_LEAST", 1)
+    got = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2000, True).collect()
+    text = {i: t or "" for i, t, *_ in rows}
+    assert len(got) == 2 * len(text)
+    for r in got:
+        ids = enc.encode_ordinary(text[r.doc_id])
+        assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
+    sample, all_ = ([r.n for r in b.selectExpr("size(parts) n").collect()] for b in made)
+    monkeypatch.setattr(bpe, "SAMPLE_LEAST", 1 << 30)
+    bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2000)
+    assert sum(sample) and 2 * sum(all_) < sum(r.n for r in made[-1].selectExpr("size(parts) n").collect())
+
+
 def test_bpe_merge_equals_library(tokens):
     ranks, enc = tokens
     rng = random.Random(4)
