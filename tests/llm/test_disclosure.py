@@ -1,5 +1,7 @@
 """Terms that reveal personal data: entities of a single document, and terms away from the entity."""
 
+import re
+
 from lineforge.llm import privacy
 
 FILLER = ["weather", "market", "garden", "music", "river", "window"]
@@ -26,3 +28,17 @@ def test_terms_far_from_the_entity_and_in_other_documents(spark):
         assert f"removed:{text.rindex('Quill')}:{len(text)}" in got[k]
     assert got[5] == "generalised:6:18" and not got[6] and got[None] == "generalised:0:12"
     assert not any(got[i] for i, _ in OTHERS)
+
+
+def test_words_are_moved_once_a_row(spark, monkeypatch):
+    """The look-up of every document's words is the largest shuffle: a row there has its word, not its lower-case form beside it."""
+    plans, written = {}, privacy.written
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(privacy, "written", seen)
+    rows = [(0, "report weather about Quillfeather wrote q@mail.example.com on market things"), *OTHERS]
+    assert privacy.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert "lower(word" in plans["hits"] and not re.search(r"lower\(word#\d+\) AS ", plans["hits"])
