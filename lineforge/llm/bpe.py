@@ -34,10 +34,10 @@ from .common import give_back, small_batches, tidy
 BITS, PLACE = 17, 7  # of an id or rank, and of a place in a part
 NONE = (1 << BITS) - 1  # the rank of a pair that is no piece
 EMPTY = (1 << 2 * BITS) - 1  # what a slot without a pair holds
-HELD_PARTS = 340_000  # after which a task numbers its parts anew; a dictionary of 349,525 doubles
+HELD_PARTS = 300_000  # after which a task numbers its parts anew
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 10  # texts whose parts are merged once for all tasks, and their most bytes
 SAMPLE_LEAST = 8 * SAMPLE_ROWS  # rows of a table that is worth it
-KNOWN_PARTS = 200_000  # of them, at most
+KNOWN_PARTS = 120_000  # of them, at most
 STEPWISE = 100  # bytes of a part up to which one pair is merged a step
 
 
