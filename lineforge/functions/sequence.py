@@ -1,14 +1,20 @@
-"""Column functions on sequences, as text, in whole-stage code where Spark has it."""
+"""Column functions on sequences, as text, in whole-stage code where Spark has it; folds along a sequence in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 # fixed values: IUPAC codes, their complements (S and W swap), and the base that stands for each
 IUPAC = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
 IUPAC_COMPLEMENT = "TGCAAKYSWRMBDHVNtgcaakyswrmbdhvn"
 IUPAC_BASE = "acgtaaaaccgaaacaacgtaaaaccgaaaca"
+# fixed values: code points of bases, and of what ``.`` doesn't match in Java's regular expressions
+BASES = np.frombuffer(b"acgtACGT", np.uint8)
+_LINE_ENDS = np.array([0x0A, 0x0D, 0x85, 0x2028, 0x2029], np.uint32)
 
 
 def dna_projection(text: Column) -> Column:
@@ -38,27 +44,65 @@ def run_lengths(seq: Column) -> Column:
     return F.transform(runs(seq), F.length)
 
 
-def running_sum(values: Column, chunk: int = 64) -> Column:
-    """array<bigint>: prefix sums. Sums grow chunk by chunk, so that an array is not copied at each of its elements."""
-    none = F.array().cast("array<bigint>")
+@F.arrow_udf(ArrayType(LongType()))
+def _running_sum(values: pa.Array) -> pa.Array:
+    out = []
+    for v in values:
+        x = v.values
+        if x is None:
+            out.append(None)
+            continue
+        sums = np.cumsum(x.fill_null(0).to_numpy(zero_copy_only=False))
+        known = len(x) if not x.null_count else int(np.flatnonzero(x.is_null().to_numpy(zero_copy_only=False))[0])
+        out.append(sums if known == len(x) else [*sums[:known].tolist(), *[None] * (len(x) - known)])
+    return pa.array(out, pa.list_(pa.int64()))
 
-    def one(acc, x):
-        total = acc["last"] + x
-        return F.struct(F.concat(acc["out"], F.array(total)).alias("out"), total.alias("last"))
 
-    def part(acc, k):
-        start = F.struct(none.alias("out"), acc["last"].alias("last"))
-        own = F.aggregate(F.slice(values, k * chunk + 1, chunk), start, one)
-        return F.transform(F.array(own), lambda o: F.struct(F.concat(acc["parts"], F.array(o["out"])).alias("parts"), o["last"].alias("last")))[0]
+def running_sum(values: Column) -> Column:
+    """array<bigint>: prefix sums, null from the first null on; in Arrow batches, as a fold in Spark copies what it has at each step."""
+    return _running_sum(values.cast("array<bigint>"))
 
-    start = F.struct(F.array().cast("array<array<bigint>>").alias("parts"), F.lit(0).cast("bigint").alias("last"))
-    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / chunk).cast("int"))
-    return F.when(values.isNull(), F.lit(None).cast("array<bigint>")).otherwise(F.aggregate(chunks, start, part, lambda acc: F.flatten(acc["parts"])))
+
+def letters(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def run_bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of equal values."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return (np.concatenate([[0], cuts]), np.concatenate([cuts, [len(x)]])) if len(x) else (cuts, cuts)
+
+
+def lists(parts: list[np.ndarray | None], values: pa.Array) -> pa.Array:
+    """Lists of as many of ``values`` as each part has; null for None."""
+    sizes = np.array([0 if p is None else len(p) for p in parts], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*[p is None for p in parts], False]))
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def joined(parts: list[np.ndarray | None], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[p for p in parts if p is not None]]).astype(kind)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _run_ends(seq: pa.Array) -> pa.Array:
+    out = []
+    for text in seq.to_pylist():
+        if text is None:
+            out.append(None)
+            continue
+        x = letters(text)
+        starts, ends = run_bounds(x)
+        lines = np.isin(x[starts], _LINE_ENDS)
+        out.append(np.cumsum((ends - starts)[~lines]) if lines.any() else ends)
+    return lists(out, pa.array(joined(out, np.int64)))
 
 
 def run_ends(seq: Column) -> Column:
-    """Where each run of equal characters ends, counted in characters from the start."""
-    return running_sum(run_lengths(seq))
+    """Where each run of equal characters ends, counted in characters from the start; line ends aren't counted, as in ``runs``."""
+    return _run_ends(seq)
 
 
 def deltas(values: Column) -> Column:
@@ -70,27 +114,53 @@ def undeltas(values: Column) -> Column:
     return running_sum(values)
 
 
+@F.arrow_udf(StringType())
+def _expand(compressed: pa.Array, ends: pa.Array) -> pa.Array:
+    out = []
+    for text, e in zip(compressed.to_pylist(), ends, strict=True):
+        if text is None or e.values is None:
+            out.append(None)
+            continue
+        x, n = letters(text), np.diff(e.values.to_numpy(zero_copy_only=False), prepend=0)
+        k = min(len(x), len(n))
+        whole = np.repeat(x[:k], np.maximum(n[:k], 0))
+        out.append(whole.tobytes().decode("ascii" if x.itemsize == 1 else "utf-32-le"))
+    return pa.array(out, pa.string())
+
+
 def homopolymer_expand(compressed: Column, ends: Column) -> Column:
     """Inverse of compression, from run ends."""
-    chars = F.split(compressed, "")
-    return F.array_join(F.zip_with(chars, deltas(ends), lambda c, n: F.repeat(c, n.cast("int"))), "")
+    return _expand(compressed, ends.cast("array<bigint>"))
 
 
 def base_count(seq: Column, base: str) -> Column:
     return (F.length(seq) - F.length(F.replace(seq, F.lit(base), F.lit("")))).cast("bigint")
 
 
-def non_acgt_runs(seq: Column) -> Column:
-    """array<struct<pos, base, n>> of runs of one character other than a, c, g, t: places are running sums of gaps and runs."""
-    pattern = r"([^acgtACGT])\1*"
-    both = F.struct(F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)).alias("r"), F.split(seq, pattern, -1).alias("g"))
+_RUN = StructType([StructField("pos", IntegerType()), StructField("base", StringType()), StructField("n", IntegerType())])
 
-    def places(b):
-        steps = F.transform(b["r"], lambda r, i: (F.length(F.get(b["g"], i)) + F.when(i > 0, F.length(F.get(b["r"], i - 1))).otherwise(0)).cast("bigint"))
-        run = lambda at: F.transform(b["r"], lambda r, i: F.struct(F.get(at, i).cast("int").alias("pos"), F.substring(r, 1, 1).alias("base"), F.length(r).alias("n")))
-        return F.transform(F.array(running_sum(steps)), run)[0]
 
-    return F.transform(F.array(both), places)[0]
+@F.arrow_udf(ArrayType(_RUN))
+def _other_runs(seq: pa.Array) -> pa.Array:
+    places, bases, sizes = [], [], []
+    for text in seq.to_pylist():
+        if text is None:
+            for k in (places, bases, sizes):
+                k.append(None)
+            continue
+        x = letters(text)
+        starts, ends = run_bounds(x)
+        own = ~np.isin(x[starts], BASES)
+        places.append(starts[own])
+        bases.append(x[starts[own]])
+        sizes.append((ends - starts)[own])
+    base = pa.array([chr(c) for c in joined(bases, np.int64).tolist()], pa.string())
+    return lists(places, pa.StructArray.from_arrays([pa.array(joined(places, np.int32)), base, pa.array(joined(sizes, np.int32))], ["pos", "base", "n"]))
+
+
+def non_acgt_runs(seq: Column) -> Column:
+    """array<struct<pos, base, n>> of runs of one character other than a, c, g, t."""
+    return _other_runs(seq)
 
 
 def fragment(seq: Column, start: Column, end: Column) -> Column:

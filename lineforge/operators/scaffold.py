@@ -5,19 +5,47 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lineforge.functions import sequence as S
 
 
+_CONTIG = StructType([StructField("at", IntegerType()), StructField("parts", StringType())])
+
+
+def _contigs(threshold: int):
+    """array<struct<at, parts>> of the stretches of acgt, over gaps that are shorter than ``threshold``.
+
+    A regular expression for them would go a level deeper at each gap, which long sequences don't survive.
+    """
+
+    @F.arrow_udf(ArrayType(_CONTIG))
+    def cut(seq: pa.Array) -> pa.Array:
+        places, parts = [], []
+        for text in seq.to_pylist():
+            if text is None:
+                places.append(None)
+                continue
+            starts, ends = S.run_bounds(np.isin(S.letters(text), S.BASES))
+            if len(starts):
+                k = 0 if text[0] in "acgtACGT" else 1  # stretches and gaps alternate
+                starts, ends = starts[k::2], ends[k::2]
+            wide = starts[1:] - ends[:-1] >= threshold
+            a, b = starts[np.concatenate([[True], wide])[: len(starts)]], ends[np.concatenate([wide, [True]])[: len(ends)]]
+            places.append(a)
+            parts += [text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        return S.lists(places, pa.StructArray.from_arrays([pa.array(S.joined(places, np.int32)), pa.array(parts, pa.string())], ["at", "parts"]))
+
+    return cut
+
+
 def scaffold_break(seqs: DataFrame, key: str, seq: Column, threshold: int = 20) -> DataFrame:
     """(key, contig, id, pos, seq): contigs between gaps of at least ``threshold``; end gaps of any length go. ``pos`` from 0."""
-    parts = F.regexp_extract_all(seq, F.lit(r"([acgtACGT]+(?:[^acgtACGT]{1,%d}(?=[acgtACGT])[acgtACGT]+)*)" % (threshold - 1) if threshold > 1 else r"([acgtACGT]+)"), F.lit(1))
-    gaps = F.split(seq, r"[acgtACGT]+(?:[^acgtACGT]{1,%d}(?=[acgtACGT])[acgtACGT]+)*" % (threshold - 1) if threshold > 1 else r"[acgtACGT]+", -1)
-    rows = seqs.select(key, parts.alias("parts"), gaps.alias("gaps"))
-    steps = F.transform("gaps", lambda g, i: (F.length(g) + F.when(i > 0, F.length(F.get(F.col("parts"), i - 1))).otherwise(0)).cast("bigint"))
-    placed = rows.select(key, F.posexplode(F.arrays_zip("parts", S.running_sum(steps).alias("at"))).alias("k", "c")).where("c.parts is not null")
+    placed = seqs.select(key, _contigs(threshold)(seq).alias("c")).select(key, F.posexplode("c").alias("k", "c"))
     return placed.select(key, (F.col("k") + 1).alias("contig"), F.concat_ws(".", F.col(key).cast("string"), (F.col("k") + 1).cast("string")).alias("id"), F.col("c.at").cast("int").alias("pos"), F.col("c.parts").alias("seq"))
 
 
