@@ -10,3 +10,11 @@ def test_scaffold_break_of_a_long_sequence_with_many_gaps(spark):
     df = spark.createDataFrame([(1, "n" + unit + "nn" + unit + "nnn"), (2, "n"), (3, ""), (4, None), (5, "aénnXXcN")], "doc int, s string")
     got = {r.id: (r.pos, r.seq) for r in scaffold.scaffold_break(df, "doc", F.col("s"), 2).collect()}
     assert got == {"1.1": (1, unit), "1.2": (len(unit) + 3, unit), "5.1": (0, "a"), "5.2": (6, "c")}
+
+
+def test_scaffold_join_of_a_long_sequence_with_many_gaps(spark):
+    seq = "n" + "acgtnacnn" * 30_000
+    df = spark.createDataFrame([(1, seq), (2, "nnn")], "doc int, s string")
+    contigs = scaffold.scaffold_break(df, "doc", F.col("s"), 2).select("doc", "pos", "seq")
+    got = scaffold.scaffold_join(contigs, "doc", df.select("doc", F.length("s").alias("length")))
+    assert {r.doc: r.seq for r in got.collect()} == {1: seq, 2: "nnn"}
