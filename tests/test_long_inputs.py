@@ -1,5 +1,9 @@
 """Long sequences and tables that one task or one level of a regular expression wouldn't hold."""
 
+import glob
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from lineforge.operators import scaffold
@@ -55,3 +59,14 @@ def test_large_binary_folders_have_more_files_than_asked_for(spark, tmp_path, mo
     assert len(sizes) > 8 and max(sizes) < 100 and sum(sizes) == 400
     assert f.header.counts["S"] == {"count": 200, "max": 160, "total": 32_000}
     assert sorted((int(r.id), r.seq) for r in sequences.sequences_of(f).collect()) == [(k, "acgt" * 40) for k in range(200)]
+
+
+@pytest.mark.parametrize(("name", "folder"), [("header_inherit", "inherit"), ("footer_counts", "binary"), ("binary_roundtrip", "binary")])
+def test_files_of_a_query_grow_in_number_not_in_size(spark, monkeypatch, name, folder):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/{folder}-*/part-*"))
+    monkeypatch.setattr(records, "PART", 60_000)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    sizes = [os.path.getsize(f) for f in set(glob.glob(f"{shared}/{folder}-*/part-*")) - before]
+    assert len(sizes) > 4 and max(sizes) < 120_000
+    assert not glob.glob(f"{shared}/lines-*")
